@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import table
 from .spans import SharedSpans
+from .vectors import VectorIndex
 
 registry = Registry()
 
@@ -30,3 +31,23 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 @registry.add("p1_shared_parts")
 def p1_shared_parts(spark: SparkSession, root: str) -> DataFrame:
     return SharedSpans(table(spark, root, "nodes")).per_record()
+
+
+@registry.add(
+    "p5_found",
+    """WITH u AS (SELECT node_id, dim, CAST(vec AS DOUBLE[]) AS v FROM node_vectors
+      WHERE vec IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(vec, lambda x: x <> 0)) > 0)
+    SELECT DISTINCT a.node_id AS node_id_a, b.node_id AS node_id_b FROM u a JOIN u b ON a.dim = b.dim AND a.node_id < b.node_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+)
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return VectorIndex(table(spark, root, "node_vectors")).pairs(0.9).select("node_id_a", "node_id_b")
+
+
+@registry.add("p5_neighbours")
+def p5_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The ten nearest of every fiftieth vector (by the hash of its id, since the ids are strings), against all."""
+    index = VectorIndex(table(spark, root, "node_vectors"))
+    asked = index.coded.where(F.pmod(F.xxhash64("node_id"), F.lit(50)) == 0)
+    return index.neighbours(asked, k=10)
