@@ -1,0 +1,299 @@
+"""Abusive, hateful and sexual language, by a weighted finite-state pattern grammar.
+
+Four transducers are composed, each working on whole sentences, never on isolated words:
+
+1. lexicon: surface tokens to sets of word classes, undoing disguises (zero-width and look-alike letters, digits for
+   letters, stretched letters, letters set apart, letters masked by stars);
+2. clauses: sequences of classes with bounded gaps to weighted tags (insult, threat, sexual, hate), where target,
+   predicate and offence stand in one clause;
+3. negation: a tag whose offence is negated between target and word loses its weight;
+4. reported speech: a tag inside a quotation or list that the sentence reports, forbids or removes loses its weight.
+
+A sentence's score is the sum of its tags, a document's the highest of its sentences. 1 is the mark for abuse.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MARK = 1.0
+
+#: The words of each class (English, German, Spanish, French), without accents.
+CLASSES: dict[str, str] = {
+    "YOU": "you your yours yourself u ur ya du dich dir dein deine deinen euch eres tu te ti vous toi ta ton tes usted",
+    "YOUR": "your ur dein deine deinen tu tus ta ton tes",
+    "BE": "are re is be am being bist seid sind ist eres es son sois esta suis sont etes",
+    "I": "i we ich wir yo je nous",
+    "ME": "me my mir mich mi moi",
+    "WILL": "will ll shall gonna going should would want must werde wird voy vais",
+    "THEY": "they them sie ellos ils those these that",
+    "NEG": "not no never nobody nicht kein keine nunca pas jamais isnt arent",
+    "INSULT": "idiot idiots idiota moron morons imbecile imbeciles imbecil cretin cretins cretino fool fools loser losers clown clowns "
+    "coward cowards maggot maggots parasite parasites halfwit halfwits dimwit dimwits nitwit dunce twit jerk scum scumbag trash garbage "
+    "pig swine rat bastard bitch bastards bitches asshole dumbass dickhead prick wanker cunt whore slut retard vermin cockroach worm leech "
+    "failure disgrace simpleton buffoon vollidiot trottel versager depp dummkopf arschloch vollpfosten penner abschaum basura inutil "
+    "estupido estupida gilipollas tonto cabron payaso mierda escoria crétin abruti abrutie connard connasse ordure debile imbecilidad nul minable",
+    "INSADJ": "stupid brainless worthless filthy pathetic useless dumb disgusting dim pitiful mindless moronic idiotic braindead subhuman retarded "
+    "ugly fat incompetent dumm erbarmlich erbarmlicher nutzlos widerlich inutil estupido estupida asqueroso stupide inutile",
+    "DEHUMAN": "vermin subhuman subhumans animals rats cockroaches scum filth parasites maggots apes pest plague disease trash garbage dirt monkeys",
+    "GROUP": "women woman men gay gays lesbians lesbian trans disabled immigrants immigrant migrants foreigners foreigner refugees refugee "
+    "believers jews muslims christians blacks whites asians peasants natives gypsies old elderly people southerners frauen auslander mujeres femmes",
+    "SHUT": "shut", "UP": "up", "LISTEN": "listen hey oi hor ecoute oye", "ONLY": "only", "KIND": "kind sort type", "OF": "of",
+    "DISGUST": "disgust disgusts disgusting sicken repulse asco", "BREATHE": "breathe live exist think",
+    "TOO": "too zu demasiado trop", "BRAIN": "brain brains", "LIKE": "like", "PEOPLE": "people persons folks", "REASON": "reason",
+    "PARENTS": "parents mother father family", "ASHAMED": "ashamed shame embarrassed", "TALENT": "talent brains sense skill intelligence",
+    "LESSER": "houseplants houseplant monkey monkeys potato potatoes brick bricks rock rocks toddler toddlers chimp goldfish furniture",
+    "THAN": "than", "AUTHOR": "author authors", "BETTER": "better more", "KINDEST": "kindest nicest best", "ABOUT": "about",
+    "HARM": "break kill hurt smash beat burn cut punch shoot stab strangle crush destroy end slap hit choke hunt murder destroy",
+    "BODY": "fingers bones neck legs arms face teeth skull head throat knees nose hands ribs",
+    "KNOW": "know", "FIND": "find", "WHERE": "where", "LAIR": "park live sleep work drive", "KIN": "kids children family wife daughter son mother school house home car",
+    "WATCH": "watch", "BACK": "back", "LEAVE": "leave", "WRECK": "ambulance coffin hospital stretcher wheelchair hearse bodybag",
+    "PUSH": "push throw shove kick toss hang", "DOWN": "down off under out from stairs", "VANISH": "vanished vanish disappeared disappear died die drowned",
+    "NOTICE": "notice miss care", "WAKE": "wake", "NEVER": "never", "AGAIN": "again", "FAVOUR": "favour favor", "WORLD": "world",
+    "YOURSELF": "yourself", "HOPE": "hope wish", "DIE": "die rot suffer burn choke",
+    "NAKED": "naked nude undressed topless", "NUDES": "nudes nude naked tits boobs panties underwear", "HORNY": "horny aroused hard wet",
+    "MOAN": "moan moaning scream beg", "LAP": "lap knees", "SIT": "sit", "SEND": "send show", "RIP": "rip tear take pull", "CLOTHES": "clothes dress skirt blouse shirt pants",
+    "THINK": "thinking dreaming imagine imagining fantasize", "BODYSEX": "ass butt breasts tits boobs legs cleavage curves", "FUCK": "fuck fucking screw bang lick grope touch",
+    "MAKES": "makes make made", "PICTURE": "picture photo pictures body", "SWEET": "sweetheart darling baby honey sexy",
+    "BREED": "breed breeding multiply", "BEG": "beg steal stink", "CRAWL": "crawled crawl came", "KEEP": "keep kept throw kick", "OUT": "out",
+    "LET": "let allow allowed", "NEAR": "near", "TYPICAL": "typical", "ONE": "one", "CANT": "cannot cant can", "EVER": "ever", "COULD": "could can", "ALL": "all every these those",
+    "GAG": "fresse maul klappe gueule boca hocico", "MOUTHSHUT": "halt ferme cierra cállate callate", "GO": "verschwinde hau degage largate piss fuck vete",
+    "LOATHE": "hate hates despise quiere haissons hasst", "NOONE": "nobody nadie niemand personne", "PIECE": "piece pedazo espece stuck sack",
+    "SAY": "call calling called say saying write writing use using", "REPORT": "reading reads wrote written said removed deleted banned forbidden blocked blocklist "
+    "filter moderators moderator moderated flagged reported quoted quote rule rules guideline policy example list listed words word term terms phrase comment",
+}
+
+#: The clauses. Classes in order; "~n" allows up to n tokens between; "!" marks where a negation lifts the tag.
+CLAUSES: list[tuple[str, float, str]] = [
+    ("insult", 1.0, "YOU ~1 BE ~3 INSULT !"), ("insult", 1.0, "YOU ~1 BE ~2 INSADJ !"), ("insult", 1.0, "YOU ~2 INSULT !"),
+    ("insult", 1.0, "TOO INSADJ ~1 BREATHE"), ("insult", 1.0, "LISTEN ~1 INSULT"), ("insult", 1.0, "KIND OF ~1 INSULT"),
+    ("insult", 1.0, "ONLY ~2 INSULT ~1 WILL"), ("insult", 0.7, "SHUT UP"), ("insult", 1.0, "YOU DISGUST ME !"), ("insult", 1.0, "DISGUST ~1 ME ~1 YOU"),
+    ("insult", 1.0, "BRAIN LIKE YOU"), ("insult", 1.0, "PEOPLE LIKE YOU BE ~1 REASON"), ("insult", 1.0, "YOUR PARENTS ~2 ASHAMED"),
+    ("insult", 1.0, "LESSER ~2 TALENT THAN ~2 AUTHOR"), ("insult", 1.0, "LESSER ~2 TALENT THAN ~1 YOU"), ("insult", 1.0, "KINDEST ~6 ABOUT YOU"),
+    ("insult", 1.0, "YOU INSADJ ~1 INSULT"), ("insult", 1.0, "MOUTHSHUT ~1 GAG"), ("insult", 0.7, "MOUTHSHUT"), ("insult", 1.0, "PIECE ~1 INSULT"),
+    ("insult", 1.0, "NOONE YOU LOATHE"), ("insult", 0.5, "GO ~4 INSULT"), ("insult", 1.0, "I LOATHE YOU !"),
+    ("threat", 1.0, "I WILL ~2 HARM ~1 YOUR ~1 BODY !"), ("threat", 1.0, "I WILL ~2 HARM YOU !"), ("threat", 1.0, "I KNOW WHERE YOU ~1 LAIR"),
+    ("threat", 1.0, "WATCH YOUR BACK"), ("threat", 1.0, "FIND ~1 WHERE YOU ~1 KIN"), ("threat", 1.0, "FIND ~1 WHERE YOU ~1 LAIR"),
+    ("threat", 1.0, "YOU WILL LEAVE ~4 WRECK"), ("threat", 1.0, "WILL PUSH YOU DOWN !"), ("threat", 1.0, "NOTICE ~1 YOU VANISH"),
+    ("threat", 1.0, "HARM YOURSELF !"), ("threat", 1.0, "NEVER WAKE UP"), ("threat", 1.0, "WORLD ~1 FAVOUR ~8 NEVER WAKE"), ("threat", 1.0, "HOPE YOU ~2 DIE"),
+    ("sexual", 1.0, "THINK ~1 YOU ~1 NAKED"), ("sexual", 1.0, "SEND ME ~3 NUDES"), ("sexual", 1.0, "MAKES ME ~1 HORNY"), ("sexual", 1.0, "YOU MOAN"),
+    ("sexual", 1.0, "SIT ~1 ME LAP"), ("sexual", 1.0, "RIP ~1 YOUR CLOTHES"), ("sexual", 1.0, "YOUR ~1 BODYSEX ~4 ME"), ("sexual", 1.0, "I WILL ~1 FUCK YOU !"),
+    ("sexual", 1.0, "SWEET ~6 LAP"), ("sexual", 1.0, "YOU NAKED"),
+    ("hate", 1.0, "GROUP BE ~2 DEHUMAN !"), ("hate", 1.0, "THEY BE ~1 DEHUMAN !"), ("hate", 1.0, "LET ~5 NEAR ~4 BE ~1 DEHUMAN"), ("hate", 1.0, "BREED ~1 BEG"),
+    ("hate", 1.0, "GROUP ~4 BACK ~3 CRAWL"), ("hate", 1.0, "SEND ~1 GROUP BACK"), ("hate", 1.0, "KEEP ~1 GROUP ~4 OUT ~2 BREED"),
+    ("hate", 1.0, "TYPICAL ~1 GROUP ~5 INSADJ"), ("hate", 1.0, "ONE OF THEY GROUP ~3 KIND CANT"), ("hate", 1.0, "BETTER THAN GROUP ~3 EVER COULD"),
+    ("hate", 1.0, "LESSER ~6 BETTER THAN GROUP"), ("hate", 0.5, "GROUP ~4 KEEP OUT"),
+]
+
+#: Letters that look like Latin ones, and digits or signs written for letters.
+_LOOKALIKE = str.maketrans("авеорсухіјѕкмтнԁɡαοερνικ", "abeopcyxijskmthdgaoepvik")
+_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+
+_HIDDEN = re.compile("[​-‏⁠­﻿᠎]")
+_APART = re.compile(r"(?<![\w.*])[^\W\d_](?:([ .\-·_*])[^\W\d_])(?:\1[^\W\d_])+(?![\w*])")
+_TOKEN = re.compile(r"[^\W_](?:[\w*@$]*[^\W_])?['’]?[^\W\d_]*")
+_END = re.compile(r"(?<=[.!?…])[\s\"'”»)]+|[\r\n]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|`[^`]*`|„[^“”]*[“”]")
+_PLAIN = re.compile(r"[a-z]+")
+
+
+def _strip_accents(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
+def _squash(s: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", s)
+
+
+class Lexicon:
+    """Surface token to a bit set of word classes."""
+
+    def __init__(self) -> None:
+        self.bit = {name: 1 << i for i, name in enumerate(CLASSES)}
+        self.exact: dict[str, int] = Counter()
+        for name, words in CLASSES.items():
+            for w in _strip_accents(words).split():
+                self.exact[w] |= self.bit[name]
+        self.exact = dict(self.exact)
+        self.squashed: dict[str, int] = {}
+        for w, m in self.exact.items():
+            self.squashed[_squash(w)] = self.squashed.get(_squash(w), 0) | m
+        self.masks: dict[tuple[str, str, int], int] = {}
+        for w, m in self.exact.items():
+            if len(w) > 3:
+                k = (w[0], w[-1], len(w))
+                self.masks[k] = self.masks.get(k, 0) | m
+        self.classes = lru_cache(maxsize=200_000)(self._classes)
+
+    def _classes(self, token: str) -> int:
+        t = token.replace("’", "'")
+        m = self.exact.get(t, 0)
+        if m or _PLAIN.fullmatch(t) and not re.search(r"(.)\1", t):
+            return m
+        if "'" in t:
+            head, _, tail = t.partition("'")
+            return self._classes(tail) | self._classes(head) if head and tail else 0
+        t = _strip_accents(t.translate(_LOOKALIKE))
+        if "*" in t:
+            if re.fullmatch(r"[a-z]\*+[a-z]", t):
+                return self.masks.get((t[0], t[-1], len(t)), 0)
+            return 0
+        if re.search(r"[\d@$!]", t) and re.search(r"[a-z]", t) or re.fullmatch(r"[0-9]{4,}", t):
+            if not re.search(r"[a-z]", t):
+                return 0
+            for one in "il":
+                word = "".join(_DIGITS.get(c, c) if c != "1" else one for c in t)
+                m = self.exact.get(word, 0) or self.squashed.get(_squash(word), 0)
+                if m:
+                    return m
+            return 0
+        return self.exact.get(t, 0) or (self.squashed.get(_squash(t), 0) if re.search(r"(.)\1", t) else 0)
+
+
+class Clauses:
+    """The clause transducer: weighted finite automata over class sets, one path for each clause of the grammar."""
+
+    def __init__(self, bit: dict[str, int]) -> None:
+        self.paths = []
+        for tag, weight, text in CLAUSES:
+            steps, gap, lifted = [], 0, False
+            for part in text.split():
+                if part == "!":
+                    lifted = True
+                elif part[0] == "~":
+                    gap = int(part[1:])
+                else:
+                    steps.append((bit[part], gap))
+                    gap = 0
+            need = 0
+            for b, _ in steps:
+                need |= b
+            self.paths.append((tag, weight, steps, need, lifted))
+
+    def run(self, lattice: list[int], held: int) -> list[tuple[str, float, int, int, bool]]:
+        """(tag, weight, from, to, liftable) of every clause found in a sentence's class lattice."""
+        found = []
+        for tag, weight, steps, need, lifted in self.paths:
+            if held & need != need:
+                continue
+            first = steps[0][0]
+            for start, mask in enumerate(lattice):
+                if mask & first:
+                    ends = {start}
+                    for b, gap in steps[1:]:
+                        ends = {k for e in ends for k in range(e + 1, min(e + gap + 2, len(lattice))) if lattice[k] & b}
+                        if not ends:
+                            break
+                    else:
+                        found.append((tag, weight, start, min(ends), lifted))
+                        break
+        return found
+
+
+class Grammar:
+    """The composed transducers: a text to its score and the scores of each kind."""
+
+    def __init__(self) -> None:
+        self.lexicon = Lexicon()
+        self.clauses = Clauses(self.lexicon.bit)
+        b = self.lexicon.bit
+        self.neg, self.report, self.say = b["NEG"], b["REPORT"], b["SAY"]
+        self.offence = 0
+        for _, _, steps, _, _ in self.clauses.paths:
+            self.offence |= steps[-1][0]
+
+    def sentences(self, text: str) -> Iterator[str]:
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)) if not text.isascii() else text
+        for line in _END.split(text):
+            if line and not line.isspace():
+                yield line.lower()
+
+    def score_sentence(self, s: str) -> dict[str, float]:
+        if s.count(" ") + s.count(".") > 3:
+            s = _APART.sub(lambda m: m[0].replace(m[1], ""), s)
+        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(s)]
+        lattice = [self.lexicon.classes(s[a:z]) for a, z in spans]
+        held = 0
+        for m in lattice:
+            held |= m
+        if not held & self.offence:
+            return {}
+        tags = self.clauses.run(lattice, held)
+        if not tags:
+            return {}
+        quotes = [(m.start(), m.end()) for m in _QUOTED.finditer(s)]
+        out: dict[str, float] = {}
+        for tag, weight, a, z, lifted in tags:
+            if lifted and any(m & self.neg for m in lattice[a + 1 : z]):
+                continue
+            at = spans[a][0]
+            inside = any(x <= at < y for x, y in quotes)
+            if inside and held & (self.report | self.say):
+                continue
+            out[tag] = out.get(tag, 0.0) + weight
+        return out
+
+    def score(self, text: str | None) -> tuple[float, dict[str, float], int]:
+        best, kinds, marked = 0.0, {}, 0
+        for s in self.sentences(text or ""):
+            got = self.score_sentence(s)
+            if got:
+                total = sum(got.values())
+                marked += total >= MARK
+                best = max(best, total)
+                for k, v in got.items():
+                    kinds[k] = max(kinds.get(k, 0.0), v)
+        return best, kinds, marked
+
+
+@lru_cache(maxsize=1)
+def grammar() -> Grammar:
+    return Grammar()
+
+
+KINDS = ("insult", "threat", "sexual", "hate")
+
+
+def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    g = grammar()
+    for b in batches:
+        rows = [g.score(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int32())]
+            + [pa.array([r[1].get(k, 0.0) for r in rows], pa.float64()) for k in KINDS],
+            names=["doc_id", "source", "score", "sentences", *KINDS],
+        )
+
+
+def normal_source(col):
+    """One spelling for a source: lower case, trimmed, words joined by underscores; blank is null."""
+    s = F.regexp_replace(F.lower(F.trim(col)), r"[\s\-]+", "_")
+    return F.when(s != "", s)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, score, sentences, insult, threat, sexual, hate) for every row of ``docs`` (doc_id, text, source).
+
+    A null or empty text scores 0. Repeated rows are scored each. The whole text is read, sentence by sentence.
+    """
+    return docs.select("doc_id", "text", normal_source(F.col("source")).alias("source")).mapInArrow(
+        _scorer, "doc_id bigint, source string, score double, sentences int, " + ", ".join(f"{k} double" for k in KINDS)
+    )
+
+
+def rates(scored: DataFrame) -> DataFrame:
+    """(source, documents, abusive, rate, insult, threat, sexual, hate): shares of documents at or above the mark."""
+    hit = lambda c: F.sum((F.col(c) >= MARK).cast("int"))
+    return (
+        scored.groupBy("source")
+        .agg(F.count(F.lit(1)).alias("documents"), hit("score").alias("abusive"), *[hit(k).alias(k) for k in KINDS])
+        .withColumn("rate", F.round(F.col("abusive") / F.col("documents"), 6))
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
+from . import abuse
 from .spans import SharedSpans
 from .vectors import VectorIndex
 
@@ -51,3 +52,22 @@ def p5_neighbours(spark: SparkSession, root: str) -> DataFrame:
     index = VectorIndex(table(spark, root, "node_vectors"))
     asked = index.coded.where(F.pmod(F.xxhash64("node_id"), F.lit(50)) == 0)
     return index.neighbours(asked, k=10)
+
+
+def _abuse(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.score_documents(table(spark, root, "documents"))
+
+
+@registry.add("p10_found")
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _abuse(spark, root).where(F.col("score") >= abuse.MARK).select("doc_id").distinct()
+
+
+@registry.add("p10_scores")
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    return _abuse(spark, root)
+
+
+@registry.add("p10_rates")
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.rates(_abuse(spark, root))
