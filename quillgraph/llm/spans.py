@@ -5,8 +5,9 @@ the left and ``b`` on the right side of a partition of the alphabet. A name is a
 all tasks agree on it without a dictionary or a shuffle, and equal substrings carry equal symbols everywhere but at
 their ends. How far that instability reaches is a function of the substring alone: each round spoils at most the first
 symbol (or run) and the last. So every window of ``span`` characters has, wherever it stands, the same stable symbols.
-The highest level at which the stable part still holds a symbol sequence of ``CORE`` characters gives the window's key,
-the sequence with the smallest hash; neighbouring windows mostly agree, which leaves few keys for a text.
+After ``ROUNDS`` rounds (or as many as leave seven tenths of the window stable) a last round names the sequences of
+symbols that cover ``CORE`` characters, and the window's key is the smallest name among its stable sequences. Neighbouring
+windows mostly agree, which leaves few keys for a text.
 
 Keys met in two different texts are the candidates; only their windows are named exactly (128 bits over all ``span``
 characters), and windows of equal name are shared spans.
@@ -26,6 +27,9 @@ from ..session import materialise
 #: Characters that the symbols of a key cover at least.
 CORE = 40
 _BATCH_CHARS = 400_000
+#: Rounds after which windows are keyed; windows whose stable part is too short by then are keyed after fewer.
+ROUNDS = 6
+_BASE = 0xD6E8FEB86659FD93
 _U = np.uint64
 
 
@@ -106,8 +110,8 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def window_keys(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, first window, last window) for every stretch of windows with one key."""
+def _windows(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters, starts of texts among them, and for every window its text, number and first character."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -116,46 +120,73 @@ def window_keys(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np
     count = np.maximum(sizes - span + 1, 0)
     doc = np.repeat(np.arange(len(texts)), count)
     window = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    lo = starts[doc] + window
-    hi = lo + span
+    return chars, first, doc, window, starts[doc] + window
+
+
+def _assign(chars, first, begin, span: int, levels_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every window and where its sequence stands, after ``levels_from`` rounds or more; -1 where too little is stable."""
+    core, room = min(CORE, span), span * 7 // 10
     parse = _Parse(chars, first)
-    key = np.zeros(len(lo), dtype=np.uint64)
-    place = np.full(len(lo), -1, dtype=np.int64)
-    live = np.arange(len(lo))
-    for level in range(40):
-        # sequences of symbols covering CORE characters: from each symbol, where the shortest ends
-        at = parse.at
-        n = len(parse.sym)
-        end = np.searchsorted(at, at[:-1] + min(CORE, span))
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            spread = np.cumprod(np.full(n + 1, 0xD6E8FEB86659FD93, dtype=np.uint64))
-            np.cumsum(_mix(parse.sym) * spread[:n], out=prefix[1:])
-            whole = end <= n
-            stop = np.minimum(end, n)
-            # shifting by the inverse power makes the sum independent of where the sequence stands
-            back = np.cumprod(np.full(n + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), dtype=np.uint64))
-            name = _mix((prefix[stop] - prefix[:n]) * back[:n] + (stop - np.arange(n)).astype(np.uint64))
-        name[~whole] = _U(0xFFFFFFFFFFFFFFFF)
-        # of a window's stable symbols [lo, hi) those from which a sequence ends before hi
-        last = np.searchsorted(end, hi, side="right")
-        ok = last > lo
-        if not ok.any():
+    key = np.zeros(len(begin), dtype=np.uint64)
+    place = np.full(len(begin), -1, dtype=np.int64)
+    # neighbouring windows with the same stable symbols go on as one group [w0, w1)
+    lo, hi = begin, begin + span
+    w0 = np.arange(len(begin))
+    w1 = w0 + 1
+    for level in range(ROUNDS + 1):
+        at, n = parse.at, len(parse.sym)
+        ok = (hi > lo) & (at[np.maximum(hi, lo)] - at[lo] >= room)
+        if not ok.all():
+            lo, hi, w0, w1 = lo[ok], hi[ok], w0[ok], w1[ok]
+        if not len(lo):
             break
-        live, lo, hi, last = live[ok], lo[ok], hi[ok], last[ok]
-        best = _range_min(name, lo, last)
-        key[live] = name[best]
-        place[live] = at[best]
+        same = (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1]) & (w0[1:] == w1[:-1])
+        if same.any():
+            cut = np.flatnonzero(np.append(True, ~same))
+            w1 = w1[np.append(cut[1:], len(lo)) - 1]
+            lo, hi, w0 = lo[cut], hi[cut], w0[cut]
+        if level >= levels_from:
+            # the shortest sequence of symbols from each symbol that covers ``core`` characters, and its name
+            end = np.searchsorted(at, at[:-1] + core)
+            prefix = np.zeros(n + 1, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                spread = np.cumprod(np.full(n + 1, _BASE, dtype=np.uint64))
+                back = np.cumprod(np.full(n + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+                np.cumsum(_mix(parse.sym) * spread[:n], out=prefix[1:])
+                stop = np.minimum(end, n)
+                name = _mix((prefix[stop] - prefix[:n]) * back[:n] + (stop - np.arange(n)).astype(np.uint64))
+            last = np.searchsorted(end, hi, side="right")
+            has = np.flatnonzero(last > lo)
+            best = _range_min(name, lo[has], last[has])
+            width = w1[has] - w0[has]
+            into = np.repeat(w0[has] - np.cumsum(width) + width, width) + np.arange(width.sum())
+            key[into] = np.repeat(name[best], width)
+            place[into] = np.repeat(at[best], width)
         salt = 0x51ED270B + 0x1000193 * level
         lo, hi = parse.runs(lo, hi, salt) if level % 4 == 0 else parse.pairs(lo, hi, salt)
-        ok = hi > lo
-        live, lo, hi = live[ok], lo[ok], hi[ok]
+    return key, place
+
+
+def window_keys(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, first window, last window) for every stretch of windows with one key.
+
+    The low levels are looked at only for texts in which some window has no key on the higher ones.
+    """
+    chars, first, doc, window, begin = _windows(texts, span)
+    key, place = _assign(chars, first, begin, span, ROUNDS)
+    if (place < 0).any():
+        again = np.unique(doc[place < 0])
+        part = _windows([texts[i] for i in again], span)
+        low_key, low_place = _assign(part[0], part[1], part[4], span, 0)
+        into = np.flatnonzero(np.isin(doc, again))
+        unset = place[into] < 0
+        key[into[unset]], place[into[unset]] = low_key[unset], (low_place - part[4] + begin[into])[unset]
     if not len(key):
         return doc, key, window, window
     change = np.ones(len(key), dtype=bool)
     change[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-    begin = np.flatnonzero(change)
-    return doc[begin], key[begin], window[begin], window[np.append(begin[1:], len(key)) - 1]
+    cut = np.flatnonzero(change)
+    return doc[cut], key[cut], window[cut], window[np.append(cut[1:], len(key)) - 1]
 
 
 def window_names(text: str, span: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,30 +202,30 @@ def window_names(text: str, span: int, windows: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-_KEYS = "key bigint, cls binary, w0 int, w1 int"
+_KEYS = "key bigint, num bigint, w0 int, w1 int"
 _NAMES = "h1 bigint, h2 bigint, cls binary, pos int"
 
 
 def _keys_of(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(cls, texts):
+        def flush(nums, texts):
             doc, key, w0, w1 = window_keys(texts, span)
             return pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(cls, pa.binary()).take(pa.array(doc)), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32))],
-                names=["key", "cls", "w0", "w1"],
+                [pa.array(key.view(np.int64)), pa.array(np.array(nums, dtype=np.int64)[doc]), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32))],
+                names=["key", "num", "w0", "w1"],
             )
 
-        cls, texts, held = [], [], 0
+        nums, texts, held = [], [], 0
         for b in batches:
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cls.append(c)
+                nums.append(c)
                 texts.append(t)
                 held += len(t)
                 if held > _BATCH_CHARS:
-                    yield flush(cls, texts)
-                    cls, texts, held = [], [], 0
+                    yield flush(nums, texts)
+                    nums, texts, held = [], [], 0
         if texts:
-            yield flush(cls, texts)
+            yield flush(nums, texts)
 
     return run
 
@@ -231,11 +262,11 @@ class SharedSpans:
         self.records = base.withColumn("cls", F.unhex(F.md5("text")))
         long = self.records.where(F.length("text") >= span)
         self.members = long.select("cls", "id").distinct()
-        docs = materialise(long.groupBy("cls").agg(F.first("text").alias("text")))
-        keys = materialise(docs.mapInArrow(_keys_of(span), _KEYS))
-        met = keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("key")
-        spans = keys.join(met, "key", "left_semi").groupBy("cls").agg(F.collect_set(F.struct("w0", "w1")).alias("spans"))
-        names = materialise(docs.join(spans, "cls").select("cls", "text", "spans").mapInArrow(_names_of(span), _NAMES))
+        docs = materialise(long.groupBy("cls").agg(F.first("text").alias("text")).withColumn("num", F.xxhash64("cls")))
+        keys = materialise(docs.select("num", "text").mapInArrow(_keys_of(span), _KEYS))
+        met = keys.groupBy("key").agg(F.min("num").alias("a"), F.max("num").alias("b")).where("a < b").select("key")
+        spans = keys.join(met, "key", "left_semi").groupBy("num").agg(F.collect_set(F.struct("w0", "w1")).alias("spans"))
+        names = materialise(docs.join(spans, "num").select("cls", "text", "spans").mapInArrow(_names_of(span), _NAMES))
         groups = (
             names.select("h1", "h2", "cls").distinct()
             .groupBy("h1", "h2")
