@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import abuse
+from . import abuse, leaks
 from .spans import SharedSpans
 from .vectors import VectorIndex
 
@@ -71,3 +71,20 @@ def p10_scores(spark: SparkSession, root: str) -> DataFrame:
 @registry.add("p10_rates")
 def p10_rates(spark: SparkSession, root: str) -> DataFrame:
     return abuse.rates(_abuse(spark, root))
+
+
+@registry.add("p8_method")
+def p8_method(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.LatentLeaks(table(spark, root, "documents"), table(spark, root, "eval_items")).leaks()
+
+
+@registry.add(
+    "p8_found",
+    """WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents
+      UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM eval_items),
+    r AS (SELECT DISTINCT side, id, array_to_string(w[i : i + 11], ' ') AS run
+      FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12))
+    SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM r d JOIN r i ON d.side = 'd' AND i.side = 'i' AND d.run = i.run""",
+)
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.verbatim_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
