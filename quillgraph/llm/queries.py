@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import abuse, leaks
+from . import abuse, fusion, leaks, mixing
 from .spans import SharedSpans
 from .vectors import VectorIndex
 
@@ -88,3 +88,43 @@ def p8_method(spark: SparkSession, root: str) -> DataFrame:
 )
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.verbatim_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+_BORDA = {"rank": 1.0, "confidence": 1.0, "in_degree": 1.0}
+
+
+@registry.add(
+    "p7_ranking",
+    r"""WITH n AS (SELECT DISTINCT id AS node_id FROM nodes WHERE id IS NOT NULL),
+    newest AS (SELECT node_id, max(computed_at) AS at_most FROM ranks GROUP BY node_id),
+    rr AS (SELECT x.node_id, max(CASE WHEN isnan(x.rank) THEN NULL ELSE x.rank END) AS rank FROM ranks x JOIN newest m ON x.node_id = m.node_id
+      AND x.computed_at = m.at_most GROUP BY x.node_id),
+    e AS (SELECT lower(regexp_replace(to_id, '^\s+|\s+$', '', 'g')) AS node_id, id,
+      max(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END) AS confidence FROM edges GROUP BY ALL),
+    i AS (SELECT node_id, avg(confidence) AS confidence, count(*) AS in_degree FROM e WHERE node_id <> '' GROUP BY node_id),
+    s AS (SELECT n.node_id, rr.rank, round(i.confidence, 9) AS confidence, CAST(coalesce(i.in_degree, 0) AS DOUBLE) AS in_degree
+      FROM n LEFT JOIN rr USING (node_id) LEFT JOIN i USING (node_id)),
+    p AS (SELECT *,
+      CASE WHEN rank IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY rank IS NULL ORDER BY rank) + (count(*) OVER (PARTITION BY rank) - 1) / 2.0 - 0.5) / count(rank) OVER () END AS p1,
+      CASE WHEN confidence IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY confidence IS NULL ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 - 0.5) / count(confidence) OVER () END AS p2,
+      (rank() OVER (ORDER BY in_degree) + (count(*) OVER (PARTITION BY in_degree) - 1) / 2.0 - 0.5) / count(*) OVER () AS p3 FROM s)
+    SELECT node_id, rank, confidence, in_degree, round((p1 + p2 + p3) / 3, 9) AS points,
+      row_number() OVER (ORDER BY round((p1 + p2 + p3) / 3, 9) DESC, node_id) AS place FROM p""".replace("GROUP BY ALL", "GROUP BY 1, 2"),
+)
+def p7_ranking(spark: SparkSession, root: str) -> DataFrame:
+    scores = fusion.node_scores(table(spark, root, "nodes"), table(spark, root, "ranks"), table(spark, root, "edges"))
+    return fusion.borda(scores, _BORDA)
+
+
+def _mixture(spark: SparkSession, root: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+@registry.add("p9_corpus")
+def p9_corpus(spark: SparkSession, root: str) -> DataFrame:
+    return _mixture(spark, root).copies()
+
+
+@registry.add("p9_shares")
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return _mixture(spark, root).report()
