@@ -34,7 +34,7 @@ def words_of(text):
 def _runs(rows: DataFrame, id_col: str, run: int) -> DataFrame:
     """(id, h): the hash of every run of ``run`` words, distinct within the row; shorter texts have none."""
     words = rows.select(F.col(id_col), words_of(F.col("text")).alias("w")).where(F.size("w") >= run)
-    starts = F.sequence(F.lit(1), F.size("w") - (run - 1))
+    starts = F.when(F.size("w") >= run, F.sequence(F.lit(1), F.size("w") - (run - 1)))
     return words.select(id_col, F.explode(F.array_distinct(F.transform(starts, lambda i: xxhash64(F.slice("w", i, run))))).alias("h"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import abuse, fusion, leaks, mixing
+from . import abuse, fusion, leaks, mixing, provenance
 from .spans import SharedSpans
 from .vectors import VectorIndex
 
@@ -128,3 +128,17 @@ def p9_corpus(spark: SparkSession, root: str) -> DataFrame:
 @registry.add("p9_shares")
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return _mixture(spark, root).report()
+
+
+def _not_by_hand(spark: SparkSession, root: str) -> DataFrame:
+    return provenance.classify_files(table(spark, root, "files"), table(spark, root, "source_texts"), table(spark, root, "third_party"))
+
+
+@registry.add("p2_found")
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return _not_by_hand(spark, root).select("path").distinct()
+
+
+@registry.add("p2_reasons")
+def p2_reasons(spark: SparkSession, root: str) -> DataFrame:
+    return _not_by_hand(spark, root)
