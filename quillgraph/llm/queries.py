@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import abuse, fusion, leaks, mixing, provenance
+from . import abuse, fusion, leaks, mixing, provenance, syntax
 from .spans import SharedSpans
 from .vectors import VectorIndex
 
@@ -142,3 +142,22 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 @registry.add("p2_reasons")
 def p2_reasons(spark: SparkSession, root: str) -> DataFrame:
     return _not_by_hand(spark, root)
+
+
+def _checked(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.check_files(table(spark, root, "files"), table(spark, root, "source_texts"))
+
+
+@registry.add("p3_found")
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _checked(spark, root).where("NOT valid").select("path").distinct()
+
+
+@registry.add("p3_failures")
+def p3_failures(spark: SparkSession, root: str) -> DataFrame:
+    return _checked(spark, root).where("NOT valid")
+
+
+@registry.add("p3_rates")
+def p3_rates(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.rates(_checked(spark, root))
