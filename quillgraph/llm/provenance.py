@@ -148,8 +148,9 @@ def known_copies(texts: DataFrame, known: DataFrame, words: int = 5, least: floa
         at = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - (words - 1)))
         return w.select(id_col, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("runs"))
 
-    library = runs(known, "lib_id", "content").select("lib_id", F.size("runs").alias("of"), F.explode("runs").alias("run"))
-    mine = runs(texts, "path", "content").select("path", F.explode("runs").alias("run"))
+    # the outer form, since for the inner one the optimizer derives a filter that computes the runs once more
+    library = runs(known, "lib_id", "content").select("lib_id", F.size("runs").alias("of"), F.explode_outer("runs").alias("run"))
+    mine = runs(texts, "path", "content").select("path", F.explode_outer("runs").alias("run"))
     return (
         mine.join(library, "run")
         .groupBy("path", "lib_id")
