@@ -35,7 +35,9 @@ def _runs(rows: DataFrame, id_col: str, run: int) -> DataFrame:
     """(id, h): the hash of every run of ``run`` words, distinct within the row; shorter texts have none."""
     words = rows.select(F.col(id_col), words_of(F.col("text")).alias("w")).where(F.size("w") >= run)
     starts = F.when(F.size("w") >= run, F.sequence(F.lit(1), F.size("w") - (run - 1)))
-    return words.select(id_col, F.explode(F.array_distinct(F.transform(starts, lambda i: xxhash64(F.slice("w", i, run))))).alias("h"))
+    # the outer form, since for the inner one the optimizer derives a filter that computes the runs once more
+    runs = words.select(id_col, F.array_distinct(F.transform(starts, lambda i: xxhash64(F.slice("w", i, run)))).alias("runs"))
+    return runs.select(id_col, F.explode_outer("runs").alias("h")).where(F.col("h").isNotNull())
 
 
 def verbatim_leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
@@ -61,7 +63,8 @@ class LatentConfig:
 
 
 def _hash_word(w: str, features: int) -> int:
-    return xxh64_intdigest(w) % features
+    """The same as ``pmod(xxhash64(w), features)`` in Spark, for a power of two."""
+    return xxh64_intdigest(w, seed=42) % features
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -122,10 +125,10 @@ class _Passages:
         return self.gather(total)
 
 
-def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``total[at[i]] += rows[i]``: frequent places summed one by one, the others in rounds without repeats."""
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray, which: np.ndarray) -> None:
+    """``total[at[i]] += rows[which[i]]``: frequent places summed one by one, the others in rounds without repeats."""
     order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order]
+    at, rows = at[order], rows[which[order]]
     heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     size = np.diff(np.append(heads, len(at)))
     for h, n in zip(heads[size > 24], size[size > 24]):
@@ -138,17 +141,21 @@ def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 def _blocks(batches: Iterator[pa.RecordBatch], words: int = 40_000):
     """Blocks of documents: (doc ids, word numbers, lengths)."""
-    ids, parts, held = [], [], 0
+    ids, parts, sizes, held = [], [], [], 0
     for b in batches:
-        for d, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        lists = b.column(1)
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy(zero_copy_only=False)
+        for d, x, y in zip(b.column(0).to_pylist(), ends[:-1], ends[1:]):
             ids.append(d)
-            parts.append(np.frombuffer(w, dtype=np.uint16))
-            held += len(parts[-1])
+            parts.append(values[x:y])
+            sizes.append(y - x)
+            held += y - x
             if held >= words:
-                yield ids, np.concatenate(parts), np.array([len(p) for p in parts])
-                ids, parts, held = [], [], 0
+                yield ids, np.concatenate(parts), np.array(sizes, dtype=np.int64)
+                ids, parts, sizes, held = [], [], [], 0
     if held:
-        yield ids, np.concatenate(parts), np.array([len(p) for p in parts])
+        yield ids, np.concatenate(parts), np.array(sizes, dtype=np.int64)
 
 
 _PART = "part int, data binary"
@@ -199,21 +206,9 @@ class LatentLeaks:
             raise ValueError(f"more than {max_items} items: search them in several runs")
         self.items = sorted({(r["item_id"], r["text"]) for r in rows})
 
-        def number(batches):
-            memo: dict[str, int] = {}
-            for b in batches:
-                out = []
-                for t in b.column(1).to_pylist():
-                    ws = _WORD.findall(t.lower())
-                    for w in set(ws) - memo.keys():
-                        memo[w] = _hash_word(w, features)
-                    out.append(np.array([memo[w] for w in ws], dtype=np.uint16).tobytes())
-                    if len(memo) > 500_000:
-                        memo = {}
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
-
         self.docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-        self.numbered = materialise(self.docs.mapInArrow(number, "doc_id bigint, words binary"))
+        numbers = F.transform(words_of(F.col("text")), lambda w: F.pmod(xxhash64(w), F.lit(features)).cast("smallint"))
+        self.numbered = materialise(self.docs.select("doc_id", numbers.alias("words")))
         self._weigh()
         self._decompose()
 
@@ -258,7 +253,7 @@ class LatentLeaks:
                     total += y.T @ y
                     continue
                 z = p.scatter(y * scale)
-                _add_rows(total, idx, z[np.repeat(np.arange(len(p.heads)), p.sizes)])
+                _add_rows(total, idx, z, np.repeat(np.arange(len(p.heads)), p.sizes))
             yield _emit(total)
 
         shape = (right.shape[1],) * 2 if gram else right.shape
