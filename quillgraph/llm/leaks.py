@@ -227,8 +227,9 @@ class LatentLeaks:
                 ends[p.two] = np.flatnonzero(p.double)
                 for_each = np.concatenate([begins[stretch], ends[stretch]])
                 word = np.tile(idx, 2)[for_each >= 0]
-                pair = np.unique(for_each[for_each >= 0] * cfg.features + word)
-                seen[:, 0] += np.bincount(pair % cfg.features, minlength=cfg.features)
+                pair = np.sort(for_each[for_each >= 0] * cfg.features + word)
+                once = pair[np.append(True, pair[1:] != pair[:-1])]
+                seen[:, 0] += np.bincount(once % cfg.features, minlength=cfg.features)
                 n += len(p)
             yield _emit(np.append(seen, [[n]], axis=0))
 
