@@ -37,14 +37,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     kept = kept.groupBy("from_id", "to_id").agg(F.sum("w").alias("w"))
     out = kept.groupBy("from_id").agg(F.sum("w").alias("out"))
     links = materialise(kept.join(out, "from_id").select("from_id", "to_id", (F.col("w") / F.col("out")).alias("part")))
-    sinks = materialise(ids.join(links.select(F.col("from_id").alias("id")), "id", "left_anti"))
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        lost = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("m")).collect()[0]["m"]
+    leaving = links.select(F.col("from_id").alias("id"), F.lit(False).alias("end")).distinct()
+    ends = materialise(ids.join(leaving, "id", "left").select("id", F.coalesce("end", F.lit(True)).alias("end")))
+    ranks = ends.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        lost = ranks.where("end").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("m")).collect()[0]["m"]
         got = links.join(ranks, links["from_id"] == ranks["id"]).groupBy("to_id").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         base = (1 - damping) / n + damping * lost / n
         ranks = materialise(
-            ids.join(got, ids["id"] == got["to_id"], "left").select("id", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+            ends.join(got, ends["id"] == got["to_id"], "left").select("id", "end", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         )
     top = ranks.agg(F.max("rank").alias("m")).collect()[0]["m"]
     return ranks.select(F.col("id").alias("node_id"), (F.col("rank") / F.lit(top or 1.0)).alias("rank"))
