@@ -37,16 +37,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     kept = kept.groupBy("from_id", "to_id").agg(F.sum("w").alias("w"))
     out = kept.groupBy("from_id").agg(F.sum("w").alias("out"))
     links = materialise(kept.join(out, "from_id").select("from_id", "to_id", (F.col("w") / F.col("out")).alias("part")))
-    leaving = links.select(F.col("from_id").alias("id"), F.lit(False).alias("end")).distinct()
-    ends = materialise(ids.join(leaving, "id", "left").select("id", F.coalesce("end", F.lit(True)).alias("end")))
-    ranks = ends.withColumn("rank", F.lit(1.0 / n))
+    # Spreading the sinks' rank evenly adds a multiple of the all-ones vector each round, so the rank is a combination of
+    # y_k = (damping * links)^k applied to ones. The y_k need no global sum on the way: one join and one aggregation each.
+    sinks = ids.join(links.select(F.col("from_id").alias("id")), "id", "left_anti")
+    y = ids.select("id", F.lit(1.0).alias("y"))
+    terms = y.withColumn("k", F.lit(0))
+    for k in range(1, rounds + 1):
+        y = materialise(links.join(y, links["from_id"] == y["id"]).groupBy("to_id").agg((F.sum(F.col("y") * F.col("part")) * damping).alias("y")).withColumnRenamed("to_id", "id"))
+        terms = terms.unionByName(y.withColumn("k", F.lit(k)))
+    held = {r["k"]: r["s"] for r in terms.join(sinks, "id", "left_semi").groupBy("k").agg(F.sum("y").alias("s")).collect()}
+    factors = [1.0 / n]
     for _ in range(rounds):
-        lost = ranks.where("end").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("m")).collect()[0]["m"]
-        got = links.join(ranks, links["from_id"] == ranks["id"]).groupBy("to_id").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        base = (1 - damping) / n + damping * lost / n
-        ranks = materialise(
-            ends.join(got, ends["id"] == got["to_id"], "left").select("id", "end", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        )
+        lost = sum(f * held.get(k, 0.0) for k, f in enumerate(factors))
+        factors = [(1 - damping + damping * lost) / n, *factors]
+    weight = F.element_at(F.array(*map(F.lit, factors)), F.col("k") + 1)
+    ranks = materialise(terms.groupBy("id").agg(F.sum(F.col("y") * weight).alias("rank")))
     top = ranks.agg(F.max("rank").alias("m")).collect()[0]["m"]
     return ranks.select(F.col("id").alias("node_id"), (F.col("rank") / F.lit(top or 1.0)).alias("rank"))
 
