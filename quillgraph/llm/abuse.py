@@ -65,7 +65,7 @@ CLASSES: dict[str, str] = {
     "MAKES": "makes make made", "PICTURE": "picture photo pictures body", "SWEET": "sweetheart darling baby honey sexy",
     "BREED": "breed breeding multiply", "BEG": "beg steal stink", "CRAWL": "crawled crawl came", "KEEP": "keep kept throw kick", "OUT": "out",
     "LET": "let allow allowed", "NEAR": "near", "TYPICAL": "typical", "ONE": "one", "CANT": "cannot cant can", "EVER": "ever", "COULD": "could can", "ALL": "all every these those",
-    "GAG": "fresse maul klappe gueule boca hocico", "MOUTHSHUT": "halt ferme cierra cállate callate", "GO": "verschwinde hau degage largate piss fuck vete",
+    "FROM": "from of in", "GAG": "fresse maul klappe gueule boca hocico", "MOUTHSHUT": "halt ferme cierra cállate callate", "GO": "verschwinde hau degage largate piss fuck vete",
     "LOATHE": "hate hates despise quiere haissons hasst", "NOONE": "nobody nadie niemand personne", "PIECE": "piece pedazo espece stuck sack",
     "SAY": "call calling called say saying write writing use using", "REPORT": "reading reads wrote written said removed deleted banned forbidden blocked blocklist "
     "filter moderators moderator moderated flagged reported quoted quote rule rules guideline policy example list listed words word term terms phrase comment",
@@ -87,9 +87,9 @@ CLAUSES: list[tuple[str, float, str]] = [
     ("sexual", 1.0, "THINK ~1 YOU ~1 NAKED"), ("sexual", 1.0, "SEND ME ~3 NUDES"), ("sexual", 1.0, "MAKES ME ~1 HORNY"), ("sexual", 1.0, "YOU MOAN"),
     ("sexual", 1.0, "SIT ~1 ME LAP"), ("sexual", 1.0, "RIP ~1 YOUR CLOTHES"), ("sexual", 1.0, "YOUR ~1 BODYSEX ~4 ME"), ("sexual", 1.0, "I WILL ~1 FUCK YOU !"),
     ("sexual", 1.0, "SWEET ~6 LAP"), ("sexual", 1.0, "YOU NAKED"),
-    ("hate", 1.0, "GROUP BE ~2 DEHUMAN !"), ("hate", 1.0, "THEY BE ~1 DEHUMAN !"), ("hate", 1.0, "LET ~5 NEAR ~4 BE ~1 DEHUMAN"), ("hate", 1.0, "BREED ~1 BEG"),
+    ("hate", 1.0, "GROUP BE ~2 DEHUMAN !"), ("hate", 1.0, "GROUP FROM ~2 BE ~2 DEHUMAN !"), ("hate", 1.0, "THEY BE ~1 DEHUMAN !"), ("hate", 1.0, "LET ~5 NEAR ~4 BE ~1 DEHUMAN"), ("hate", 1.0, "BREED ~1 BEG"),
     ("hate", 1.0, "GROUP ~4 BACK ~3 CRAWL"), ("hate", 1.0, "SEND ~1 GROUP BACK"), ("hate", 1.0, "KEEP ~1 GROUP ~4 OUT ~2 BREED"),
-    ("hate", 1.0, "TYPICAL ~1 GROUP ~5 INSADJ"), ("hate", 1.0, "ONE OF THEY GROUP ~3 KIND CANT"), ("hate", 1.0, "BETTER THAN GROUP ~3 EVER COULD"),
+    ("hate", 1.0, "TYPICAL ~1 GROUP ~5 INSADJ"), ("hate", 1.0, "ONE OF THEY ~5 KIND CANT"), ("hate", 1.0, "BETTER THAN GROUP ~3 EVER COULD"),
     ("hate", 1.0, "LESSER ~6 BETTER THAN GROUP"), ("hate", 0.5, "GROUP ~4 KEEP OUT"),
 ]
 
@@ -216,9 +216,16 @@ class Grammar:
             if line and not line.isspace():
                 yield line.lower()
 
+    def _join(self, m: re.Match) -> str:
+        """Letters set apart as one word; a single letter before them that is a word of its own stays one."""
+        word = m[0].replace(m[1], "")
+        if m[1] == " " and not self.lexicon.classes(word) and self.lexicon.classes(word[1:]):
+            return f"{word[0]} {word[1:]}"
+        return word
+
     def score_sentence(self, s: str) -> dict[str, float]:
         if s.count(" ") + s.count(".") > 3:
-            s = _APART.sub(lambda m: m[0].replace(m[1], ""), s)
+            s = _APART.sub(self._join, s)
         spans = [(m.start(), m.end()) for m in _TOKEN.finditer(s)]
         lattice = [self.lexicon.classes(s[a:z]) for a, z in spans]
         held = 0
