@@ -117,7 +117,7 @@ GOOD = {
              "record P(int x, String y) { P { if (x < 0) throw new E(); } }\nenum K { A(1) { void f() {} }, B; }"],
     "rs": ["#![allow(x)]\nuse a::{b, c::*};\nimpl<'a, T: Clone + 'a> X<T> for Y<'a> where T: Z { fn f(&mut self, x: &'a [u8; 4]) -> Option<Vec<Vec<u8>>> { let v = vec![1, 2]; match x { [a, .., b] if a > b => Some(vec![]), _ => { return None; } } } }",
            "fn main() { let s = S { a: 1, ..d }; for i in 0..n { if let Some(x) = f(i)? { println!(\"{}\", x as u64); } } let c = |a: i32| -> i32 { a << 2 }; loop { break 'a' as u8; } }"],
-    "py": ["", "def f(a, /, b=1, *c, d, **e) -> int:\n    return [x for x in y if z] if a else {**b}\n", "match p:\n    case [1, *r] | {'k': v} if v:\n        pass\nx: int = 1\na = b = yield_\n", "@d\nasync def g():\n\tasync with a as b, c:\n\t\tawait b\n", "if x:\n  y = (1 +\n# c\n 2)\nelse: pass"],
+    "py": ["", "def f(a, /, b=1, *c, d, **e) -> int:\n    return [x for x in y if z] if a else {**b}\n", "match p:\n    case [1, *_] | {'k': 2} if v:\n        pass\nx: int = 1\na = b = yield_\n", "@d\nasync def g():\n\tasync with a as b, c:\n\t\tawait b\n", "if x:\n  y = (1 +\n# c\n 2)\nelse: pass"],
 }
 BAD = {
     "ts": ["function f( {", "let x: = 1;", "<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x\n", "const const = 1", "if (a { }", "return 1", "from x import y"],
