@@ -58,7 +58,21 @@ _COMMENT_START = re.compile(r"\s*(//|#|/?\*|--|<!--|\"\"\"|''')")
 _BLOCK = re.compile(r"/\*.*?\*/", re.S)
 _LINE_COMMENT = {"py": re.compile(r"(?m)^\s*#.*$")}
 _SLASHES = re.compile(r"(?m)^\s*//.*$")
-HEADER_LINES = 40
+_MARKS = re.compile(r"^(//+!?|#+|/\*+!?|\*+|--|<!--|\"\"\"|\'\'\')\s*")
+
+_QUOTES = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_SLASHED = r"//[^\n]*|(?P<block>/\*.*?\*/)|"
+#: What can span lines in a language, ``block`` comments and ``text`` in strings; the rest is there to be skipped.
+_SPANNING = {
+    kind: re.compile(rx, re.S)
+    for kind, rx in {
+        "py": r"#[^\n]*|(?<=[^\s])[ \t]*[rRbBuUfFtT]{0,2}(?P<text>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|" + _QUOTES,
+        "java": _SLASHED + r"(?P<text>\"\"\"(?:[^\\]|\\.)*?\"\"\")|" + _QUOTES,
+        "rs": _SLASHED + r"(?P<text>\br(?P<n>#*)\".*?\"(?P=n)|\"(?:[^\"\\]|\\.)*\")|'(?:[^'\\\n]|\\[^\n']+|\\')'",
+        "go": _SLASHED + r"(?P<text>`[^`]*`)|" + _QUOTES,
+        "": _SLASHED + r"(?P<text>`(?:[^`\\]|\\.)*`)|" + _QUOTES,
+    }.items()
+}
 
 
 @lru_cache(maxsize=1)
@@ -72,18 +86,41 @@ def _automaton():
     return a, [(kind, re.compile(rx)) for _, kind, rx in NOTICES], [re.compile(x, re.M) for x in COMPILED]
 
 
-def notice(text: str) -> str | None:
-    """The kind of notice in the header's comments, each comment line taken with white space evened and letters lowered."""
+@lru_cache(maxsize=1)
+def _hints() -> tuple[str, ...]:
+    """A word of each phrase; a text without any of them holds no notice, however its white space is laid out."""
+    return tuple({max(phrase.split(), key=len) for phrase, _, _ in NOTICES})
+
+
+def _spanning(text: str, ext: str) -> list[tuple[int, int, str]]:
+    """(from, to, block or text) of the comments and strings that span lines."""
+    found = _SPANNING.get(ext, _SPANNING[""]).finditer(text)
+    spans = ((*m.span(kind), kind) for m in found for kind in ("block", "text") if m.groupdict().get(kind))
+    return [x for x in spans if "\n" in text[x[0] : x[1]]]
+
+
+def notice(text: str, ext: str = "") -> str | None:
+    """The kind of the first notice in the comments, wherever it stands; each comment line is taken with white space evened
+    and letters lowered. Lines of a string that spans lines are no comments, whatever they begin with."""
+    low = text.lower()
+    if not any(h in low for h in _hints()):
+        return None
     automaton, kinds, _ = _automaton()
-    for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
-        if not _COMMENT_START.match(line):
+    blocks, spans, end = "/*" in text, None, 0
+    for line in text.split("\n"):
+        begin, end = end, end + len(line) + 1
+        marked = _COMMENT_START.match(line)
+        if not marked and not blocks:
             continue
-        flat = re.sub(r"\s+([>;:.,])", r"\1", " ".join(line.lower().split()))
-        flat = re.sub(r"^(//+!?|#+|/\*+!?|\*+|--|<!--|\"\"\"|''')\s*", "", flat)
+        flat = _MARKS.sub("", re.sub(r"\s+([>;:.,])", r"\1", " ".join(line.lower().split())))
         for _, i in automaton.iter(flat):
             kind, rx = kinds[i]
             if rx.search(flat):
-                return kind
+                spans = _spanning(text, ext) if spans is None else spans
+                at = begin + len(line) - len(line.lstrip())
+                within = next((k for a, z, k in spans if a < at < z), None)
+                if within != "text" if marked else within == "block":
+                    return kind
     return None
 
 
@@ -118,8 +155,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said, formed = [], []
         for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = (text or "").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-            said.append(notice(text))
-            formed.append(shape(text, path.rpartition(".")[2].lower()))
+            ext = path.rpartition(".")[2].lower()
+            said.append(notice(text, ext))
+            formed.append(shape(text, ext))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(formed, pa.string())], names=["path", "notice", "shape"])
 
 

@@ -84,6 +84,24 @@ def test_notices(text, want):
     assert provenance.notice(text) == want
 
 
+def test_notices_anywhere():
+    own = "".join(f"const a{i} = f({i});\n" for i in range(200))
+    end = "// Code generated by tool 1.2. DO NOT EDIT.\n"
+    assert provenance.notice(own + end) == provenance.notice(own + end + own) == "generated"
+    assert provenance.notice(own + "/*\n  This file was generated by x.\n*/\n", "ts") == "generated"
+    assert provenance.notice("x = 1\n" * 300 + "# Vendored copy of x 1.0\n", "py") == "vendored"
+    assert provenance.notice(own + "// @generated tags are stripped here\n// the ids are generated by the x service\n", "ts") is None
+
+
+@pytest.mark.parametrize("ext,opening,closing", [("ts", "const h = `", "`;"), ("go", "const h = `", "`"), ("py", 'H = """', '"""'), ("java", 'String h = """', '""";'), ("rs", 'const H: &str = r#"', '"#;'), ("rs", 'const H: &str = "', '";')])
+def test_notices_in_strings_are_text(ext, opening, closing):
+    mark = "#" if ext == "py" else "//"
+    line = f"{mark} Code generated by tool 1.2. DO NOT EDIT.\n"
+    own = f"{opening}\n{line}{closing}\n"
+    assert provenance.notice(own, ext) is None
+    assert provenance.notice(own + line, ext) == "generated"
+
+
 def test_shapes():
     assert provenance.shape("x = [" + ", ".join(map(str, range(200))) + "]\n", "py") == "data"
     assert provenance.shape("const s = '" + "A" * 500 + "';\n", "js") == "data"
