@@ -6,9 +6,10 @@ Four transducers are composed, each working on whole sentences, never on isolate
    letters, stretched letters, letters set apart, letters masked by stars);
 2. clauses: sequences of classes with bounded gaps to weighted tags (insult, threat, sexual, hate), where target,
    predicate and offence stand in one clause;
-3. negation: a tag whose offence is negated between target and word loses its weight;
-4. reported speech: a tag inside a quotation or list that the sentence reports, forbids or removes loses its weight.
+3. negation: a match whose offence is negated between target and word doesn't count;
+4. reported speech: a match inside a quotation or list that the sentence reports, forbids or removes doesn't count.
 
+A clause gives its tag once in a sentence, if any of its matches counts.
 A sentence's score is the sum of its tags, a document's the highest of its sentences. 1 is the mark for abuse.
 """
 
@@ -16,9 +17,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,24 +181,26 @@ class Clauses:
                 need |= b
             self.paths.append((tag, weight, steps, need, lifted))
 
-    def run(self, lattice: list[int], held: int) -> list[tuple[str, float, int, int, bool]]:
-        """(tag, weight, from, to, liftable) of every clause found in a sentence's class lattice."""
-        found = []
+    def run(self, lattice: list[int], held: int) -> Iterator[tuple[str, float, bool, Iterator[tuple[int, int]]]]:
+        """(tag, weight, liftable, matches) of every clause whose classes a sentence's lattice holds."""
         for tag, weight, steps, need, lifted in self.paths:
-            if held & need != need:
-                continue
-            first = steps[0][0]
-            for start, mask in enumerate(lattice):
-                if mask & first:
-                    ends = {start}
-                    for b, gap in steps[1:]:
-                        ends = {k for e in ends for k in range(e + 1, min(e + gap + 2, len(lattice))) if lattice[k] & b}
-                        if not ends:
-                            break
-                    else:
-                        found.append((tag, weight, start, min(ends), lifted))
+            if held & need == need:
+                yield tag, weight, lifted, self._matches(lattice, steps)
+
+    @staticmethod
+    def _matches(lattice: list[int], steps: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """(from, to) of the matches of a clause, for each start the shortest: what lies in it lies in all others from there,
+        so if the shortest is negated or reported, they all are."""
+        first = steps[0][0]
+        for start, mask in enumerate(lattice):
+            if mask & first:
+                ends = {start}
+                for b, gap in steps[1:]:
+                    ends = {k for e in ends for k in range(e + 1, min(e + gap + 2, len(lattice))) if lattice[k] & b}
+                    if not ends:
                         break
-        return found
+                else:
+                    yield start, min(ends)
 
 
 class Grammar:
@@ -233,19 +238,18 @@ class Grammar:
             held |= m
         if not held & self.offence:
             return {}
-        tags = self.clauses.run(lattice, held)
-        if not tags:
-            return {}
-        quotes = [(m.start(), m.end()) for m in _QUOTED.finditer(s)]
-        out: dict[str, float] = {}
-        for tag, weight, a, z, lifted in tags:
+        quotes = [(m.start(), m.end()) for m in _QUOTED.finditer(s)] if held & (self.report | self.say) else []
+
+        def counts(a: int, z: int, lifted: bool) -> bool:
             if lifted and any(m & self.neg for m in lattice[a + 1 : z]):
-                continue
-            at = spans[a][0]
-            inside = any(x <= at < y for x, y in quotes)
-            if inside and held & (self.report | self.say):
-                continue
-            out[tag] = out.get(tag, 0.0) + weight
+                return False
+            i = bisect_right(quotes, spans[a][0], key=itemgetter(0)) - 1
+            return i < 0 or spans[a][0] >= quotes[i][1]
+
+        out: dict[str, float] = {}
+        for tag, weight, lifted, matches in self.clauses.run(lattice, held):
+            if any(counts(a, z, lifted) for a, z in matches):
+                out[tag] = out.get(tag, 0.0) + weight
         return out
 
     def score(self, text: str | None) -> tuple[float, dict[str, float], int]:

@@ -323,6 +323,15 @@ def test_abuse_sentences():
         assert g.score(t)[0] < abuse.MARK, t
 
 
+def test_abuse_after_a_match_that_does_not_count():
+    g = abuse.grammar()
+    for t in ("I will not hurt you, I will kill you.", "You are not stupid, you are worthless.", 'The filter removed "you are worthless" but you are worthless.', "you are not dumb " * 500 + "you are dumb"):
+        assert g.score(t)[0] >= abuse.MARK, t
+    for t in ("You are not stupid, you are not worthless.", 'The filter removed "you are worthless" and "you are stupid".', "you are not dumb " * 500):
+        assert g.score(t)[0] == 0, t
+    assert g.score("You are dumb, you are dumb")[0] == g.score("You are dumb")[0]
+
+
 def test_abuse_table(spark):
     rows = [(i, t, "Issue ") for i, t in enumerate(ABUSIVE)] + [(100 + i, t, None) for i, t in enumerate(CLEAN)] + [(0, ABUSIVE[0], "issue"), (500, "fine text. " * 20_000 + ABUSIVE[0], " ")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("score", F.lit("clash"))
