@@ -26,7 +26,8 @@ _MARKUP = re.compile(r"\A\s*<(?:!doctype|html|\?xml)", re.I)
 
 
 def _python_fault(text: str) -> int:
-    """Where a Python text fails, -1 if it is valid: the grammar, then the compiler as an exact check of its verdict."""
+    """Where a Python text fails, -1 if it is valid. The compiler decides; the grammar gives the position, and the verdict only
+    where the compiler runs out of memory or depth."""
     lined, origin, fault = python_lines(text)
     if lined is not None:
         v = python_grammar().check(lined)

@@ -177,6 +177,12 @@ def test_python_grammar_agrees_with_the_compiler():
         assert fault == -1 and python_grammar().check(lined).ok, module
 
 
+def test_the_compiler_decides_python():
+    for t in ("nonlocal x\n", "def f(a, a):\n    pass\n", "def f():\n    x = 1\n    global x\n"):
+        lined, _, fault = python_lines(t)
+        assert fault == -1 and python_grammar().check(lined).ok and syntax.fault_of(t, "py") >= 0, t
+
+
 def argparse_like():
     import argparse
 
