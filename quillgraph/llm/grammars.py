@@ -173,13 +173,12 @@ Declare <- 'declare' ^!nl (Function | Class | 'abstract' Class | Interface | Typ
 """
 
 _MARKUP = r"""
-Markup <- '<' TagName @TA@ Attribute* ('/' ">" | CloseOpen Child* EndTag) | '<' FragmentOpen Child* '<' '/' ">"
+Markup <- '<' $TagName @TA@ Attribute* ('/' ">" | CloseOpen Child* '<' '/' =TagName ">") | '<' FragmentOpen Child* '<' '/' ">"
 FragmentOpen <- ">"
 CloseOpen <- />/
 TagName <- /[A-Za-z_$][\w$\-]*(?:[:.][A-Za-z_$][\w$\-]*)*/
 Attribute <- '{' '...' Assign '}' | /[A-Za-z_$][\w$\-]*(?::[A-Za-z_$][\w$\-]*)?/ ('=' (/"[^"]*"/ | /'[^']*'/ | '{' Assign '}' | Markup))?
 Child <- /[^<{}>]++/ | '{' ('...'? Expr)? '}' | Markup
-EndTag <- '<' '/' TagName ">"
 """
 
 GO = r"""

@@ -8,6 +8,7 @@ A grammar is a list of rules ``Name <- expression``; a rule goes on until the ne
     a b   sequence      a | b  ordered choice      * + ?  repetition      & !  look-ahead      ( )  group
     @name(a)  within ``a`` the context ``name`` holds;  ?name  succeeds where it does
     ^nl   a line end stands before;  ^!nl  none does
+    $Name  a rule that is one token, whose text is held within the rule around it;  =Name  the same token with the held text
 
 After each token white space and comments are skipped. Each rule becomes a Python function from position to position (-1:
 no match), with its results kept by position, so no rule is tried twice at one place. A text is accepted if the first rule
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 _LEX = re.compile(
     r"""\s+|\#[^\n]*|(?P<arrow><-)|(?P<tok>'(?:[^'\\]|\\.)*')|(?P<raw>"(?:[^"\\]|\\.)*")|(?P<re>/(?:[^/\\]|\\.)+/)"""
-    r"""|(?P<nl>\^!?nl)|(?P<ctx>@[a-z]+)|(?P<has>\?[a-z]+)|(?P<op>[|*+?&!()])|(?P<name>[A-Za-z_]\w*)"""
+    r"""|(?P<nl>\^!?nl)|(?P<ctx>@[a-z]+)|(?P<has>\?[a-z]+)|(?P<hold>[$=])|(?P<op>[|*+?&!()])|(?P<name>[A-Za-z_]\w*)"""
 )
 
 
@@ -43,6 +44,7 @@ class Grammar:
         self.trivia, self.operators, self.word = trivia, operators.split(), words
         self.rules: dict[str, list] = {}
         self.terminals: dict[str, int] = {}
+        self.bare: dict[int, str] = {}
         self._read(text)
         for name in self._used:
             if name not in self.rules:
@@ -125,6 +127,8 @@ class Grammar:
             return ("ctx", val[1:], item)
         if kind == "has":
             return ("has", val[1:])
+        if kind == "hold":
+            return ("hold" if val == "$" else "same", self._atom())
         if kind == "nl":
             return ("nl", val == "^nl")
         return ("term", self._terminal(kind, val))
@@ -143,9 +147,12 @@ class Grammar:
                     longer = [re.escape(o[len(body) :]) for o in self.operators if o.startswith(body) and o != body]
                     if longer:
                         rx += f"(?!{'|'.join(longer)})"
+        bare = rx
         # most tokens are followed by one space or none; the general form is for the others
         rx = rf"(?:{rx})(?: ?+(?![\s/\\\ufeff])|(?:{self.trivia})*+)"
-        return self.terminals.setdefault(rx, len(self.terminals))
+        i = self.terminals.setdefault(rx, len(self.terminals))
+        self.bare[i] = bare
+        return i
 
     # generating ---------------------------------------------------------------------------------------------------
 
@@ -173,7 +180,7 @@ class Grammar:
         if kind == "alt":
             sets = [self._first(x, busy) for x in e[1]]
             return None if None in sets else frozenset().union(*sets)
-        if kind == "plus":
+        if kind in ("plus", "hold", "same"):
             return self._first(e[1], busy)
         if kind == "ctx":
             return self._first(e[2], busy)
@@ -189,7 +196,7 @@ class Grammar:
                 elif e[0] in ("seq", "alt"):
                     for x in e[1]:
                         walk(x, inside)
-                elif e[0] in ("star", "plus", "opt", "and", "not"):
+                elif e[0] in ("star", "plus", "opt", "and", "not", "hold", "same"):
                     walk(e[1], inside)
                 elif e[0] == "ctx":
                     walk(e[2], inside)
@@ -217,6 +224,7 @@ class Grammar:
         self._n, out = 0, []
         self._firsts: dict = {}
         self._sets: dict = {}
+        self._held: set[int] = set()
         self._patterns = {i: rx for rx, i in self.terminals.items()}
         for rule in self.rules:
             out.append(f"    M_{rule} = {{}}")
@@ -230,7 +238,7 @@ class Grammar:
             self._emit(expr, "p", "q", 2, out, track)
             out += ([] if simple else [f"        M_{rule}[p] = q"]) + ["        return q"]
         source = [
-            "def build(T, S, nl):",
+            "def build(T, B, S, nl):",
             *[f"    T{i} = T[{i}]" for i in range(len(self.terminals))],
             *[f"    {name} = S[{name!r}]" for name in self._sets.values()],
             "    s, far, kept = '', 0, 0",
@@ -253,7 +261,8 @@ class Grammar:
         env: dict = {}
         exec(compile(text, "<grammar>", "exec"), env)  # noqa: S102
         every = {name: chars for chars, name in self._sets.items()}
-        return env["build"]([re.compile(rx).match for rx in self.terminals], every, line_end_before)
+        bare = {i: re.compile(self.bare[i]).match for i in self._held}
+        return env["build"]([re.compile(rx).match for rx in self.terminals], bare, every, line_end_before)
 
     def _var(self) -> str:
         self._n += 1
@@ -324,6 +333,16 @@ class Grammar:
         elif kind == "has":
             test = {"fn": "fn", "loop": "loop", "brk": "loop or switch"}[e[1]]
             out.append(f"{pad}{q} = {p} if {test} else -1")
+        elif kind in ("hold", "same"):
+            i = self.rules[e[1][1]][1]
+            self._held.add(i)
+            self._emit(e[1], p, q, d, out, track)
+            if kind == "hold":
+                out.append(f"{pad}if {q} >= 0: held = B[{i}](s, {p})[0]")
+            else:
+                out.append(f"{pad}if {q} >= 0 and B[{i}](s, {p})[0] != held:\n{pad}    {q} = -1")
+                if track:
+                    out.append(f"{pad}    if {p} > far: far = {p}")
         elif kind == "nl":
             out.append(f"{pad}{q} = {p} if {'' if e[1] else 'not '}nl(s, {p}) else -1")
         else:

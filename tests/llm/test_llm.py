@@ -167,6 +167,16 @@ def test_cut_texts_fail_and_causes():
     assert syntax.fault_of("(" * 3000 + ")" * 3000, "js") in (-1, 3000, 3001)
 
 
+@pytest.mark.parametrize("lang", ["tsx", "jsx"])
+def test_end_tags_have_the_name_of_their_opening(lang):
+    for t in ("<a><b></b></a>", "<a.b c={<d></d>} ><a.b></a.b></a.b >", "<x:y>{f(<a></a>)}</ x:y>", "<><a></a></>", "<a /* c */><a/></a>", "<ab><a></a></ab>"):
+        assert syntax.fault_of(f"const x = {t};", lang) == -1, t
+    for t in ("<div></span>", "<a><b></a></b>", "<a.b></a.c>", "<a></ab>", "<ab></a>", "<a></></a>", "<></a>", "<a></A>", "<a b={<c></d>}></a>"):
+        assert syntax.fault_of(f"const x = {t};", lang) >= 0, t
+    t = "const x = <div>\n  <b></b>\n</span>;"
+    assert syntax.fault_of(t, lang) == t.index("span")
+
+
 def test_python_grammar_agrees_with_the_compiler():
     import ast
     import inspect
