@@ -20,6 +20,10 @@ EXTENSIONS = {
     "jsx": ("jsx", "javascript"), "py": ("py", "python"), "go": ("go", "go"), "java": ("java", "java"), "rs": ("rs", "rust"),
 }
 
+#: Frames that a parse may take, for the memory of an executor; a level of nesting takes about 13 of them.
+MOST_FRAMES = 1_000_000
+UNDECIDED = -2
+
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?: |$)", re.M)
 _DIFF = re.compile(r"\A(?:diff --git |--- \S+\n\+\+\+ )")
 _MARKUP = re.compile(r"\A\s*<(?:!doctype|html|\?xml)", re.I)
@@ -29,13 +33,16 @@ def _python_fault(text: str) -> int:
     """Where a Python text fails, -1 if it is valid. The compiler decides; the grammar gives the position, and the verdict only
     where the compiler runs out of memory or depth."""
     lined, origin, fault = python_lines(text)
+    undecided = False
     if lined is not None:
-        v = python_grammar().check(lined)
-        if v.ok:
-            fault = -1
+        try:
+            v = python_grammar().check(lined)
+        except (RecursionError, MemoryError):
+            undecided = True
         else:
-            at, source = origin[max(0, bisect_right(origin, (v.position, len(text) + 1)) - 1)]
-            fault = min(len(text), source + v.position - at)
+            if not v.ok:
+                at, source = origin[max(0, bisect_right(origin, (v.position, len(text) + 1)) - 1)]
+                fault = min(len(text), source + v.position - at)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -49,21 +56,28 @@ def _python_fault(text: str) -> int:
     except ValueError:
         return max(fault, 0)
     except (MemoryError, RecursionError, OverflowError):
-        return fault
+        return UNDECIDED if undecided else fault
 
 
 def fault_of(text: str, ext: str) -> int:
-    """Position of the furthest failure of ``text`` in the language of ``ext``; -1 if it is valid."""
+    """Position of the furthest failure of ``text`` in the language of ``ext``; -1 if it is valid, UNDECIDED if its nesting
+    takes more than MOST_FRAMES."""
     text = text[1:] if text.startswith("﻿") else text
     if not text:
         return -1
+    limit = sys.getrecursionlimit()
+    # no rule is entered twice at one position, so the frames are in proportion to the text at most
+    rules = len((python_grammar() if ext == "py" else grammar(EXTENSIONS[ext][0])).rules)
+    sys.setrecursionlimit(max(limit, min(MOST_FRAMES, rules * (2 * len(text) + 2) + 1000)))
     try:
         if ext == "py":
             return _python_fault(text)
         v = grammar(EXTENSIONS[ext][0]).check(text)
         return -1 if v.ok else v.position
-    except RecursionError:
-        return -1
+    except (RecursionError, MemoryError):
+        return UNDECIDED
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def cause(text: str, at: int) -> str:
@@ -82,13 +96,14 @@ _OUT = "path string, language string, valid boolean, line int, column int, cause
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(50_000)
     for b in batches:
         rows = []
         for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ext, text = path.rpartition(".")[2].lower(), text or ""
             at = fault_of(text, ext)
-            if at < 0:
+            if at == UNDECIDED:
+                rows.append((path, EXTENSIONS[ext][1], None, None, None, "undecided"))
+            elif at < 0:
                 rows.append((path, EXTENSIONS[ext][1], True, None, None, None))
             else:
                 line = text.count("\n", 0, at) + 1
@@ -103,7 +118,7 @@ def check_files(files: DataFrame, texts: DataFrame) -> DataFrame:
 
     A text is valid if the grammar of its extension consumes all of it; the empty and the null text are. ``line`` and
     ``column`` (from 1) give the furthest failure. A path listed several times counts once, with the repository of its last
-    scan; null paths are left out. A text nested deeper than the parser can follow isn't flagged.
+    scan; null paths are left out. For a text nested deeper than the parser can follow, ``valid`` is null and the cause undecided.
     """
     known = F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS) & F.col("path").contains(".")
     listed = files.where(F.col("path").isNotNull() & known).groupBy("path").agg(F.max_by("repo", F.struct("indexed_at", "repo")).alias("repo"))
@@ -113,13 +128,15 @@ def check_files(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rates(checked: DataFrame) -> DataFrame:
-    """(repo, language, files, invalid, rate, conflicts)."""
+    """(repo, language, files, invalid, conflicts, undecided, rate): the rate is that of the decided files."""
     return (
         checked.groupBy("repo", "language")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum((~F.col("valid")).cast("int")).alias("invalid"),
             F.sum(F.when(F.col("cause") == "conflict", 1).otherwise(0)).alias("conflicts"),
+            F.sum(F.col("valid").isNull().cast("int")).alias("undecided"),
         )
-        .withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
+        .withColumn("invalid", F.coalesce("invalid", F.lit(0).cast("bigint")))
+        .withColumn("rate", F.round(F.col("invalid") / F.nullif(F.col("files") - F.col("undecided"), F.lit(0)), 6))
     )

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,28 @@ def test_python_grammar_agrees_with_the_compiler():
         assert fault == -1 and python_grammar().check(lined).ok, module
 
 
+@pytest.mark.parametrize("lang,before,level,after", [("js", "x = ", "[", "]"), ("ts", "x = ", "[", "]"), ("go", "package p\nvar x = ", "f(", ")"), ("java", "class A { int x = ", "f(", ")"), ("rs", "fn f() { g", "(", ")"), ("jsx", "x = ", "<a>", "</a>")])
+def test_deep_nesting_is_decided(lang, before, level, after):
+    n = 6000
+    end = {"java": ";}", "rs": "; }"}.get(lang, "\n")
+    inner = "" if lang in ("js", "ts", "jsx", "rs") else "1"
+    assert syntax.fault_of(before + level * n + inner + after * n + end, lang) == -1
+    assert syntax.fault_of(before + level * n, lang) >= 0
+    assert syntax.fault_of(before + level * n + inner + after * (n - 1) + end, lang) >= 0
+
+
+def test_undecided_texts_stand_apart(spark, monkeypatch):
+    monkeypatch.setattr(syntax, "MOST_FRAMES", 1000)
+    assert syntax.fault_of("[" * 6000, "js") == syntax.UNDECIDED and syntax.fault_of("let a = 1;", "js") == -1
+    assert syntax.fault_of("x = " + "(" * 6000, "py") >= 0 and syntax.fault_of("x = " + "(" * 6000 + "1" + ")" * 6000 + "\n", "py") >= 0
+    [row] = next(syntax._check(iter([pa.RecordBatch.from_arrays([pa.array(["a/x.js"]), pa.array(["[" * 6000])], names=["path", "content"])]))).to_pylist()
+    assert row["valid"] is None and row["cause"] == "undecided"
+    rows = [("r", "go", None, "undecided"), ("r", "go", True, None), ("r", "go", False, "invalid"), ("s", "go", None, "undecided")]
+    got = {r["repo"]: r for r in syntax.rates(spark.createDataFrame(rows, "repo string, language string, valid boolean, cause string")).collect()}
+    assert (got["r"]["files"], got["r"]["invalid"], got["r"]["undecided"], got["r"]["rate"]) == (3, 1, 1, 0.5)
+    assert (got["s"]["invalid"], got["s"]["undecided"], got["s"]["rate"]) == (0, 1, None)
+
+
 def test_the_compiler_decides_python():
     for t in ("nonlocal x\n", "def f(a, a):\n    pass\n", "def f():\n    x = 1\n    global x\n"):
         lined, _, fault = python_lines(t)
