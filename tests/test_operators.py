@@ -2,6 +2,9 @@
 
 import datetime as dt
 import json
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +166,60 @@ def test_search_and_budget(spark):
     assert xml.startswith('<context query="say &quot;q&quot;"') and "<![CDATA[" in xml
 
 
+def fold_by_hand(hits, query, budget, xml):
+    """(ids, tokens, text) of the packing with the default cap, hit by hit."""
+    cost = lambda t: math.ceil((len(re.findall(r"\S+", t)) * 1.3 + len(t) / 4) / 2) if t else 0
+
+    def block(h, snippet):
+        where = f"{h['start_line']}-{h['end_line']}"
+        if xml:
+            head = f'<symbol kind="{h["kind"]}" name="{h["name"]}" file="{h["file_path"]}" lines="{where}" lang="{h["language"]}" score="{h["score"]:.3f}">\n  <signature>{h["signature"]}</signature>'
+            return head + (f"\n  <code><![CDATA[{snippet}]]></code>" if snippet else "") + "\n</symbol>"
+        head = f"### {h['kind']} `{h['name']}`  \n`{h['file_path']}:{where}` · lang: {h['language']} · score: {h['score']:.3f}\n\n`{h['signature']}`"
+        return head + (f"\n\n```{h['language']}\n{snippet}\n```" if snippet else "")
+
+    used, ids, blocks = cost(query) + 24, [], []
+    for h in sorted(hits, key=lambda h: (-h["score"], h["id"])):
+        b = block(h, h["snippet"])
+        if cost(b) > budget // 3 and h["snippet"]:
+            out, held = [], 0
+            for line in h["snippet"].split("\n"):
+                if held + cost(line) + 1 > budget // 3:
+                    out.append("// … trimmed for token budget …")
+                    break
+                out.append(line)
+                held += cost(line) + 1
+            b = block(h, "\n".join(out))
+        if used + cost(b) > budget:
+            b = block(h, None)
+            if used + cost(b) > budget:
+                break
+        used, ids, blocks = used + cost(b), [*ids, h["id"]], [*blocks, b]
+    if xml:
+        return ids, used, f'<context query="{query}" tokens="{used}">\n' + "\n".join(blocks) + "\n</context>"
+    return ids, used, f"# Context for: {query}\n\n_{len(ids)} symbols · ~{used}/{budget} tokens_\n\n" + "\n\n---\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("xml", [False, True])
+def test_packing_with_the_default_cap(spark, xml):
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice(["a", "call", "return_value", "(x)", "=>"]) for _ in range(n))
+    rows = [(f"n{i:02}", f"f{i}", "\n".join(say(rng.randint(0, 9)) for _ in range(rng.choice([0, 3, 12, 60, 200]))), rng.randint(1, 9) / 8) for i in range(14)]
+    rows[3] = (*rows[3][:2], None, rows[3][3])
+    rows[5] = (*rows[5][:2], say(900), rows[5][3])
+    hits = spark.createDataFrame(rows, "id string, name string, snippet string, score double").selectExpr(
+        "*", "'function' AS kind", "'a/f.ts' AS file_path", "'ts' AS language", "1 AS start_line", "9 AS end_line", "concat('fn ', name) AS signature"
+    )
+    by_hand = [r.asDict() for r in hits.collect()]
+    trimmed = 0
+    for budget in (60, 150, 400, 900, 3000):
+        [p] = search.pack_context(hits, "load users", budget=budget, xml=xml).collect()
+        assert (p["ids"], p["tokens_used"], p["formatted"]) == fold_by_hand(by_hand, "load users", budget, xml), budget
+        [uncut] = search.pack_context(hits, "load users", budget=budget, xml=xml, cap=budget).collect()
+        trimmed += p["tokens_used"] != uncut["tokens_used"]
+    assert trimmed >= 2
+
+
 def test_hashed_embedding_agrees(spark):
     t = spark.createDataFrame([("parse_file the Token",), ("",), (None,)], "t string")
     rows = t.select(text.local_embedding(F.col("t"), 64).alias("v"), text.hashed_features(F.coalesce("t", F.lit("")), 64).alias("f")).collect()
