@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,20 +31,22 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set (tests)."""
+    """The shared folder the cluster names. Only a local session, as in tests, may do without and gets a private one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"quillgraph-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as parquet below the shared checkpoint folder and read it back.
+    """Write ``df`` as parquet below the shared checkpoint folder and read it back; ``release`` deletes it.
 
     Cuts lineage like ``checkpoint()``, survives the loss of any executor, and keeps columns prunable by
     the readers that follow.
@@ -52,9 +54,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage._stage = path
+    return stage
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Spillable cache, for small relations that several branches read."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def release(*stages: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``stages``, once nothing that is still to run reads it."""
+    for stage in stages:
+        spark = stage.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(stage._stage)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
