@@ -9,8 +9,10 @@ After ``ROUNDS`` rounds (or as many as leave seven tenths of the window stable)
 symbols that cover ``CORE`` characters, and the window's key is the smallest name among its stable sequences. Neighbouring
 windows mostly agree, which leaves few keys for a text.
 
-Keys met in two different texts are the candidates; only their windows are named exactly (128 bits over all ``span``
-characters), and windows of equal name are shared spans.
+Recompression thus finds the candidates: neighbouring windows of one key form a stretch, and stretches whose key is met in
+two different texts are cut out of their texts. The decision is exact and by content: equal stretches (128 bits) are shared
+as a whole, which settles the inside of every long span; where stretches of one key differ, as at the ends of a span, their
+windows are named by all of their ``span`` characters (128 bits), one naming for all copies of a stretch.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 
 #: Characters that the symbols of a key cover at least.
 CORE = 40
@@ -189,21 +191,22 @@ def window_keys(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np
     return doc[cut], key[cut], window[cut], window[np.append(cut[1:], len(key)) - 1]
 
 
-def window_names(text: str, span: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit names of the windows that begin at ``windows``."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    out = []
+def window_names(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, window, two independent 64-bit names) of every window of ``texts``."""
+    chars, _, doc, window, begin = _windows(texts, span)
+    chars, out = chars.astype(np.uint64), []
     for seed, base in ((0x243F6A88, 0x9E3779B97F4A7C15), (0x13198A2E, 0xC2B2AE3D27D4EB4F)):
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(len(chars) + 1, base, dtype=np.uint64))
             back = np.cumprod(np.full(len(chars) + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
             sums = np.concatenate([[_U(0)], np.cumsum(_mix(chars + _U(seed)) * power[: len(chars)])])
-            out.append(_mix((sums[windows + span] - sums[windows]) * back[windows]))
-    return out[0], out[1]
+            out.append(_mix((sums[begin + span] - sums[begin]) * back[begin]))
+    return doc, window, out[0], out[1]
 
 
 _KEYS = "key bigint, num bigint, w0 int, w1 int"
-_NAMES = "h1 bigint, h2 bigint, cls binary, pos int"
+_STRETCHES = "num bigint, key bigint, w0 int, piece string"
+_NAMES = "h1 bigint, h2 bigint, cid binary, off int, once boolean"
 
 
 def _keys_of(span: int):
@@ -230,20 +233,61 @@ def _keys_of(span: int):
     return run
 
 
+def _cut_out(span: int):
+    """(num, text, spans) to the text of every stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, t, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for i in range(0, len(spans), 4096):
+                    part = spans[i : i + 4096]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([n] * len(part), pa.int64()), pa.array([s["key"] for s in part], pa.int64()), pa.array([s["w0"] for s in part], pa.int32()),
+                            pa.array([t[s["w0"] : s["w1"] + span] for s in part], pa.string()),
+                        ],
+                        names=["num", "key", "w0", "piece"],
+                    )
+
+    return run
+
+
 def _names_of(span: int):
+    """(cid, piece) to the names of the windows of every piece; ``once`` is false where a piece repeats a window of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(ids, texts):
+            doc, window, h1, h2 = window_names(texts, span)
+            first = np.zeros(len(doc), dtype=bool)
+            first[np.unique(np.rec.fromarrays([doc, h1, h2]), return_index=True)[1]] = True
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(doc)), pa.array(window.astype(np.int32)), pa.array(first)],
+                names=["h1", "h2", "cid", "off", "once"],
+            )
+
+        ids, texts, held = [], [], 0
         for b in batches:
-            for c, t, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-                windows = np.unique(np.concatenate([np.arange(s["w0"], s["w1"] + 1) for s in spans]))
-                h1, h2 = window_names(t, span, windows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([c] * len(windows), pa.binary()), pa.array(windows.astype(np.int32))],
-                    names=["h1", "h2", "cls", "pos"],
-                )
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(c)
+                texts.append(t)
+                held += len(t)
+                if held > _BATCH_CHARS:
+                    yield flush(ids, texts)
+                    ids, texts, held = [], [], 0
+        if texts:
+            yield flush(ids, texts)
 
     return run
 
 
+_SET = ("n", "x", "y")
+
+
+def _set_of(cid) -> list:
+    """The name of a set of pieces: their number and two mixes of their names; aggregates."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(cid)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), cid)).alias("y")]
+
+
 class SharedSpans:
     """Spans of at least ``span`` characters that occur verbatim in more than one record.
 
@@ -262,37 +306,50 @@ class SharedSpans:
         self.records = base.withColumn("cls", F.unhex(F.md5("text")))
         long = self.records.where(F.length("text") >= span)
         self.members = long.select("cls", "id").distinct()
-        docs = materialise(long.groupBy("cls").agg(F.first("text").alias("text")).withColumn("num", F.xxhash64("cls")))
+        docs = materialise(long.groupBy("cls").agg(F.first("text").alias("text")).withColumn("num", F.monotonically_increasing_id()))
         keys = materialise(docs.select("num", "text").mapInArrow(_keys_of(span), _KEYS))
+        #: (num, cls): a short number for each text
+        self.classes = materialise(docs.select("num", "cls"))
         met = keys.groupBy("key").agg(F.min("num").alias("a"), F.max("num").alias("b")).where("a < b").select("key")
-        spans = keys.join(met, "key", "left_semi").groupBy("num").agg(F.collect_set(F.struct("w0", "w1")).alias("spans"))
-        names = materialise(docs.join(spans, "num").select("cls", "text", "spans").mapInArrow(_names_of(span), _NAMES))
-        groups = (
-            names.select("h1", "h2", "cls").distinct()
-            .groupBy("h1", "h2")
-            .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
-            .where("n > 1")
-        )
-        #: (cls, pos, n, x, y): shared windows; (n, x, y) tells the set of classes that share it
-        self.shared = materialise(names.join(groups, ["h1", "h2"]).select("cls", "pos", "n", "x", "y"))
+        spans = keys.join(met, "key", "left_semi").groupBy("num").agg(F.collect_list(F.struct("key", "w0", "w1")).alias("spans"))
+        cut = docs.join(spans, "num").select("num", "text", "spans").mapInArrow(_cut_out(span), _STRETCHES)
+        #: (num, key, w0, piece, cid): stretches of a key that another text has too, with their text and its name
+        self.stretches = materialise(cut.withColumn("cid", F.unhex(F.md5("piece"))))
+        release(docs, keys)
+        pieces = self.stretches.groupBy("cid", "key").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+        #: (cid, key, lo, hi): the different stretches
+        self.pieces = materialise(pieces)
+        unlike = self.pieces.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+        apart = self.stretches.join(unlike, "key", "left_semi").groupBy("cid").agg(F.first("piece").alias("piece"))
+        names = materialise(apart.mapInArrow(_names_of(span), _NAMES))
+        groups = names.where("once").groupBy("h1", "h2").agg(*_set_of(F.col("cid"))).where("n > 1")
+        #: (cid, off, n, x, y): windows that several pieces hold; (n, x, y) tells the set of those pieces
+        self.windows = materialise(names.join(groups, ["h1", "h2"]).select("cid", "off", *_SET))
+        release(names)
+
+    def _sets(self) -> DataFrame:
+        """(n, x, y, num): the texts of every set of pieces that share something, a piece alone being such a set too."""
+        partial = self.windows.select("cid", *_SET).distinct()
+        whole = self.pieces.where("lo < hi").groupBy("cid").agg(*_set_of(F.col("cid"))).select("cid", *_SET)
+        return partial.unionByName(whole).join(self.stretches.select("cid", "num").distinct(), "cid").select(*_SET, "num").distinct()
 
     def class_pairs(self) -> DataFrame:
-        """(cls_a, cls_b): different texts that share a span; one emission for each set of texts, not each window."""
-        sets = self.shared.select("cls", "n", "x", "y").distinct()
+        """(num_a, num_b): different texts that share a span; one emission for each set of texts, not each window."""
+        sets = self._sets()
         return (
-            sets.withColumnRenamed("cls", "cls_a")
-            .join(sets.withColumnRenamed("cls", "cls_b"), ["n", "x", "y"])
-            .where("cls_a < cls_b")
-            .select("cls_a", "cls_b")
+            sets.withColumnRenamed("num", "num_a")
+            .join(sets.withColumnRenamed("num", "num_b"), [*_SET])
+            .where("num_a < num_b")
+            .select("num_a", "num_b")
             .distinct()
         )
 
     def pairs(self) -> DataFrame:
         """(node_id_a, node_id_b), smaller first, of all records that share a span."""
-        m = self.members
-        a, b = m.select(F.col("cls").alias("cls_a"), F.col("id").alias("ia")), m.select(F.col("cls").alias("cls_b"), F.col("id").alias("ib"))
-        across = self.class_pairs().join(a, "cls_a").join(b, "cls_b").select("ia", "ib")
-        within = a.join(b, F.col("cls_a") == F.col("cls_b")).select("ia", "ib")
+        m = self.members.join(self.classes, "cls").select("num", "id")
+        a, b = m.select(F.col("num").alias("num_a"), F.col("id").alias("ia")), m.select(F.col("num").alias("num_b"), F.col("id").alias("ib"))
+        across = self.class_pairs().join(a, "num_a").join(b, "num_b").select("ia", "ib")
+        within = a.join(b, F.col("num_a") == F.col("num_b")).select("ia", "ib")
         return (
             across.union(within)
             .where("ia <> ib")
@@ -306,16 +363,25 @@ class SharedSpans:
         A text that another record repeats as a whole is shared throughout if it is ``span`` long; for an id with
         several texts the longest text counts. ``shared_part`` is null for the empty text.
         """
-        gaps = F.array_sort(F.collect_set("pos"))
-        cover = self.shared.groupBy("cls").agg(gaps.alias("p")).select(
-            "cls",
+        whole = self.stretches.join(self.pieces.where("lo < hi").select("cid").distinct(), "cid", "left_semi")
+        spread = self._sets().groupBy(*_SET).agg(F.min("num").alias("lo"), F.max("num").alias("hi")).where("lo < hi").select(*_SET)
+        offs = self.windows.join(spread, [*_SET], "left_semi").groupBy("cid").agg(F.collect_set("off").alias("offs"))
+        single = self.stretches.join(offs, "cid").select("num", F.explode("offs").alias("off"), "w0")
+        # first and last window of each shared part; the merge below adds up what they cover
+        parts = whole.select("num", F.col("w0").alias("a"), (F.col("w0") + F.length("piece") - self.span).alias("b")).unionByName(
+            single.select("num", (F.col("w0") + F.col("off")).alias("a"), (F.col("w0") + F.col("off")).alias("b"))
+        )
+        cover = parts.groupBy("num").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p")).select(
+            "num",
             F.aggregate(
                 "p",
-                F.struct(F.lit(0).alias("sum"), F.lit(-self.span).alias("last")),
-                lambda s, x: F.struct((s["sum"] + F.least(F.lit(self.span), x - s["last"])).alias("sum"), x.alias("last")),
+                F.struct(F.lit(0).alias("sum"), F.lit(0).alias("upto")),
+                lambda s, x: F.struct(
+                    (s["sum"] + F.greatest(F.lit(0), x["b"] + self.span - F.greatest(x["a"], s["upto"]))).alias("sum"), F.greatest(s["upto"], x["b"] + self.span).alias("upto")
+                ),
                 lambda s: s["sum"],
             ).alias("covered"),
-        )
+        ).join(self.classes, "num").select("cls", "covered")
         copies = self.members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
         one = self.records.groupBy("id").agg(F.max(F.struct(F.length("text").alias("n"), F.col("cls").alias("cls"))).alias("r"))
         return (
