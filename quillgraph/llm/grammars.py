@@ -67,21 +67,23 @@ ExprStatement <- !/(?:function|class)(?![\w$])/ !'{{' !('let' '[') Expr Eos
 Block <- '{{' BlockItem* '}}'
 BlockItem <- Statement
 Declaration <- Function | Class {ts("| Interface | TypeAlias | Enum | Namespace | Declare | 'abstract' ^!nl Class")}
-VarStatement <- /(?:var|let|const)(?![\w$])/ VarDecl (',' VarDecl)* Eos {ts("| 'await'? 'using' ^!nl VarDecl (',' VarDecl)* Eos")}
-VarDecl <- Binding {ts("'!'? ")}TypeNote? ('=' Assign)?
+VarStatement <- VarDecls Eos {ts("| 'await'? 'using' ^!nl VarDecl (',' VarDecl)* Eos")}
+VarDecl <- Id {ts("'!'? ")}TypeNote? ('=' Assign)? | (ArrayBinding | ObjectBinding) TypeNote? '=' Assign
+ConstDecl <- Binding TypeNote? '=' Assign {ts("| Id TypeNote")}
 Binding <- Id | ArrayBinding | ObjectBinding
 ArrayBinding <- '[' (',' | BindingElement (',' | &']'))* ('...' Binding)? ']'
 BindingElement <- Binding ('=' Assign)?
 ObjectBinding <- '{{' (BindingProperty (',' BindingProperty)* ','?)? '}}'
 BindingProperty <- '...' Binding | PropertyName ':' BindingElement | Id ('=' Assign)?
-If <- 'if' '(' Expr ')' Statement ('else' Statement)?
-While <- 'while' '(' Expr ')' @loop(Statement)
-Do <- 'do' @loop(Statement) 'while' '(' Expr ')' ';'?
-For <- 'for' 'await'? '(' ForHead ')' @loop(Statement)
+If <- 'if' '(' Expr ')' Within ('else' Within)?
+Within <- !/(?:class|const|function)(?![\w$])/ !('let' (Name | '[' | '{{')) !('async' ^!nl 'function') Statement
+While <- 'while' '(' Expr ')' @loop(Within)
+Do <- 'do' @loop(Within) 'while' '(' Expr ')' ';'?
+For <- 'for' 'await'? '(' ForHead ')' @loop(Within)
 ForHead <- /(?:var|let|const)(?![\w$])/ Binding TypeNote? ('of' Assign | 'in' Expr) &')'
  | LeftSide ('of' Assign | 'in' Expr) &')'
  | (VarDecls | Expr)? ';' Expr? ';' Expr?
-VarDecls <- /(?:var|let|const)(?![\w$])/ VarDecl (',' VarDecl)*
+VarDecls <- 'const' ConstDecl (',' ConstDecl)* | /(?:var|let)(?![\w$])/ VarDecl (',' VarDecl)*
 Switch <- 'switch' '(' Expr ')' '{{' @switch(Case*) '}}'
 Case <- ('case' Expr | 'default') ':' Statement*
 Try <- 'try' Block ('catch' ('(' Binding TypeNote? ')')? Block ('finally' Block)? | 'finally' Block)
@@ -97,7 +99,7 @@ Class <- Decorator* 'class' (!Heritage Id)? {ts("TypeParams? ")}Heritage* '{{' @
 Heritage <- 'extends' LeftSide {ts("TypeArgs? (',' LeftSide)* | 'implements' Type (',' Type)*")}
 Member <- ';' | 'static' FunctionBody
  | Decorator* {ts("Modifier*", "('static' &(PropertyName | '*' | '#'))?")} MemberTail
-MemberTail <- ('get' | 'set') PropertyName '(' Params ')' {ts("ReturnType? ")}(FunctionBody {ts("| Eos")})
+MemberTail <- ('get' PropertyName '(' ')' | 'set' PropertyName '(' Param ','? ')') {ts("ReturnType? ")}(FunctionBody {ts("| Eos")})
  | ('async' ^!nl)? '*'? PropertyName {ts("'?'? ")}Signature (FunctionBody {ts("| Eos")})
  {ts("| '[' Id ':' Type ']' TypeNote Eos")}
  | {ts("'accessor'? ")}PropertyName {ts("('?' | '!')? ")}TypeNote? ('=' Assign)? Eos
@@ -119,8 +121,8 @@ Arrow <- ('async' ^!nl)? (Id | Signature) ^!nl '=>' (FunctionBody | !'{{' Assign
 Cond <- Binary ('?' Assign ':' Assign)?
 Binary <- Unary (BinaryOp Unary {ts("| ^!nl ('as' | 'satisfies') Type")})*
 BinaryOp <- /(?:===|!==|==|!=|<=|>=|<<|>>>|>>|&&|\|\||\?\?|\*\*|[+\-*\/%&|^<>])(?!=)/ | /(?:in|instanceof)(?![\w$])/ | /<=|>=|===|!==|==|!=/
-Unary <- PrefixOp Unary {ts("| '<' Type '>' Unary" if not markup else "")} | Postfix
-PrefixOp <- '++' | '--' | '+' | '-' | '!' | '~' | /(?:typeof|void|delete|await)(?![\w$])/
+Unary <- 'delete' !(Id !Suffix) Unary | PrefixOp Unary {ts("| '<' Type '>' Unary" if not markup else "")} | Postfix
+PrefixOp <- '++' | '--' | '+' | '-' | '!' | '~' | /(?:typeof|void|await)(?![\w$])/
 Postfix <- LeftSide (^!nl ('++' | '--'))?
 LeftSide <- Head Suffix*
 Head <- New | 'super' &('(' | '.' | '[') | Primary
@@ -134,7 +136,7 @@ Primary <- Function | Class | 'import' (Args | '.' 'meta') | Id | Number | Strin
  | /(?:this|null|true|false)(?![\w$])/ | Regex {"| Markup" if markup else ""} | "#" Name &'in'
 Array <- '[' (',' | '...'? Assign (',' | &']'))* ']'
 Object <- '{{' (Property (',' Property)* ','?)? '}}'
-Property <- '...' Assign | ('get' | 'set') PropertyName '(' Params ')' {ts("ReturnType? ")}FunctionBody
+Property <- '...' Assign | ('get' PropertyName '(' ')' | 'set' PropertyName '(' Param ','? ')') {ts("ReturnType? ")}FunctionBody
  | ('async' ^!nl)? '*'? PropertyName Signature FunctionBody
  | PropertyName ':' Assign | Id
 TypeNote <- {ts("':' Type", "!/[\\s\\S]/ &/x/")}
@@ -204,7 +206,8 @@ TypeTerm <- '~'? Type
 Func <- 'func' ('(' Params ')')? Id TypeParams? Signature @fn(Block)?
 Signature <- '(' Params ')' Result?
 Result <- '(' Params ')' | Type
-Params <- (Param (',' Param)* ','?)?
+Params <- (Param (',' Param)* Last)?
+Last <- ',' | ^!nl
 Param <- Id '...'? Type | '...' Type | Type
 Type <- '(' Type ')' | '*' Type | '[' ']' Type | '[' ('...' | Expr) ']' Type | 'map' '[' Type ']' Type | 'chan' '<-'? Type | '<-' 'chan' Type
  | 'func' Signature | Struct | Interface | TypeName
@@ -217,10 +220,10 @@ Block <- '{' Statements '}'
 Statements <- (Statement Eos | ';')* Statement?
 Statement <- Decl | Id ':' !'=' Statement? | Block | If | For | Switch | Select
  | 'return' (^!nl Exprs)? | 'break' (^!nl Id | ?brk) | 'continue' (^!nl Id | ?loop) | 'goto' Id | 'fallthrough' | ('go' | 'defer') Expr | Simple
-Simple <- Exprs (AssignOp Exprs | '++' | '--' | '<-' Expr)?
+Simple <- Exprs (^!nl (AssignOp Exprs | '++' | '--' | '<-' Expr))?
 AssignOp <- ':=' | '=' | /(?:\+|-|\*|\/|%|&\^|&|\||\^|<<|>>)=/
 Exprs <- Expr (',' Expr)*
-If <- 'if' (HeadSimple? ';')? HeadExpr Block ('else' (If | Block))?
+If <- 'if' (HeadSimple? ';')? HeadExpr Block (^!nl 'else' (If | Block))?
 For <- 'for' (HeadRange | HeadSimple? ';' HeadExpr? ';' HeadSimple? | HeadExpr)? @loop(Block)
 HeadRange <- (HeadExprs (':=' | '='))? 'range' HeadExpr
 Switch <- 'switch' ((HeadSimple? ';')? (TypeGuard | HeadExpr)?) '{' @switch(SwitchCase*) '}'
@@ -229,14 +232,14 @@ SwitchCase <- ('case' CaseItem (',' CaseItem)* | 'default') ':' Statements
 CaseItem <- Expr | Type
 Select <- 'select' '{' @switch(SelectCase*) '}'
 SelectCase <- ('case' Simple | 'default') ':' Statements
-HeadSimple <- HeadExprs (AssignOp HeadExprs | '++' | '--' | '<-' HeadExpr)?
+HeadSimple <- HeadExprs (^!nl AssignOp HeadExprs | '++' | '--' | '<-' HeadExpr)?
 HeadExprs <- HeadExpr (',' HeadExpr)*
-HeadExpr <- HeadUnary (BinaryOp HeadUnary)*
+HeadExpr <- HeadUnary (^!nl BinaryOp HeadUnary)*
 HeadUnary <- UnaryOp HeadUnary | HeadPrimary
 HeadPrimary <- HeadOperand HeadSuffix*
 HeadOperand <- LiteralType CompositeBody | 'func' Signature @fn(Block) | Number | Rune | String | Id | '(' (Expr | Type) ')' | ConversionType
-HeadSuffix <- '.' '(' Type ')' | '.' Id | Index | Call
-Expr <- Unary (BinaryOp Unary)*
+HeadSuffix <- ^!nl ('.' '(' Type ')' | '.' Id | Index | Call)
+Expr <- Unary (^!nl BinaryOp Unary)*
 BinaryOp <- /&&|\|\||==|!=|<=|>=|<<(?!=)|>>(?!=)|&\^(?!=)|(?:[+\-*\/%&|^])(?![=])(?!\+\+)|<(?!-)|>/
 Unary <- UnaryOp Unary | Primary
 UnaryOp <- '+' | '-' | '!' | '^' | '*' | '&' | '<-'
@@ -244,12 +247,12 @@ Primary <- Operand Suffix*
 Operand <- LiteralType CompositeBody | 'func' Signature @fn(Block) | Number | Rune | String | TypeName CompositeBody | Id | '(' (Expr | Type) ')' | ConversionType
 LiteralType <- '[' '...' ']' Type | '[' Expr? ']' Type | 'map' '[' Type ']' Type | Struct
 ConversionType <- '[' Expr? ']' Type | 'map' '[' Type ']' Type | 'chan' Type | Interface | 'func' Signature | Struct
-CompositeBody <- '{' (Element (',' Element)* ','?)? '}' 
+CompositeBody <- '{' (Element (',' Element)* Last)? '}'
 Element <- ElementValue (':' ElementValue)?
 ElementValue <- CompositeBody | Expr
-Suffix <- '.' '(' ('type' | Type) ')' | '.' Id | Index CompositeBody? | Call
+Suffix <- ^!nl ('.' '(' ('type' | Type) ')' | '.' Id | Index CompositeBody? | Call)
 Index <- '[' (Expr? ':' Expr? (':' Expr)? | (Type | Expr) (',' (Type | Expr))* ','?) ']'
-Call <- '(' (CallArg (',' CallArg)* ','?)? ')'
+Call <- '(' (CallArg (',' CallArg)* Last)? ')'
 CallArg <- Expr '...'? | Type
 """
 _GO_OPERATORS = "+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || <- ++ -- == < > = ! != <= >= := ... ( ) [ ] { } , ; . : ~"
@@ -265,15 +268,15 @@ ElementPair <- Id '=' ElementValue
 ElementValue <- Annotation | '{' (ElementValue (',' ElementValue)*)? ','? '}' | Cond
 Modifier <- Annotation | /(?:public|protected|private|static|abstract|final|native|synchronized|transient|volatile|strictfp|default|non-sealed)(?![\w$:])/ | 'sealed' &(Modifier | 'class' | 'interface' | 'abstract')
 TypeDecl <- Modifier* (ClassDecl | InterfaceDecl | EnumDecl | RecordDecl | AnnotationDecl)
-ClassDecl <- 'class' Id TypeParams? ('extends' Type)? ('implements' Types)? ('permits' Types)? ClassBody
+ClassDecl <- 'class' $Id TypeParams? ('extends' Type)? ('implements' Types)? ('permits' Types)? '{' @cls(Member*) '}'
 InterfaceDecl <- 'interface' Id TypeParams? ('extends' Types)? ('permits' Types)? ClassBody
 AnnotationDecl <- '@' 'interface' Id ClassBody
-EnumDecl <- 'enum' Id ('implements' Types)? '{' (EnumConstant (',' EnumConstant)*)? ','? (';' Member*)? '}'
+EnumDecl <- 'enum' $Id ('implements' Types)? '{' (EnumConstant (',' EnumConstant)*)? ','? (';' @cls(Member*))? '}'
 EnumConstant <- Annotation* Id Args? ClassBody?
-RecordDecl <- 'record' Id TypeParams? '(' Params ')' ('implements' Types)? ClassBody
+RecordDecl <- 'record' $Id TypeParams? '(' Params ')' ('implements' Types)? '{' @cls(Member*) '}'
 ClassBody <- '{' @cls(Member*) '}'
 Member <- ';' | 'static'? @fn(Block) | Modifier* (ClassDecl | InterfaceDecl | EnumDecl | RecordDecl | AnnotationDecl | MethodDecl | FieldDecl)
-MethodDecl <- TypeParams? Annotation* (('void' | Type) Id | Id) '(' Params ')' Dims ('throws' Types)? ('default' ElementValue)? (@fn(Block) | ';') | Id @fn(Block)
+MethodDecl <- TypeParams? Annotation* (('void' | Type) Id | ~Id) '(' Params ')' Dims ('throws' Types)? ('default' ElementValue)? (@fn(Block) | ';') | ~Id @fn(Block)
 FieldDecl <- Type VarDecls ';'
 VarDecls <- VarDecl (',' VarDecl)*
 VarDecl <- Id Dims ('=' (ArrayInit | Expr))?
@@ -297,8 +300,7 @@ LocalVar <- (Annotation | 'final')* !('yield' | 'return' | 'throw' | 'new' | 'as
 Statement <- Block | ';' | 'if' '(' Expr ')' Statement ('else' Statement)? | 'while' '(' Expr ')' @loop(Statement) | 'do' @loop(Statement) 'while' '(' Expr ')' ';'
  | For | 'switch' '(' Expr ')' SwitchBody | Try | 'synchronized' '(' Expr ')' Block | 'return' Expr? ';' | 'throw' Expr ';'
  | 'break' (Id | ?brk) ';' | 'continue' (Id | ?loop) ';' | 'assert' Expr (':' Expr)? ';' | 'yield' !('=' | '.' | '(' | '++' | '--') Expr ';' | Id ':' Statement | ExprStatement
-ExprStatement <- (('++' | '--') Unary | Target AssignOp Expr | Postfix ('++' | '--') | 'new' Creator Suffix* | Postfix &';' CallEnd) ';'
-CallEnd <- ?fn | !?fn
+ExprStatement <- (('++' | '--') Unary | Target AssignOp Expr | Postfix ('++' | '--') | 'new' Creator Suffix* | Primary (Suffix &Suffix)* Args) ';'
 For <- 'for' '(' (((Annotation | 'final')* Type Id Dims ':' Expr) | ForInit? ';' Expr? ';' (Expr (',' Expr)*)?) ')' @loop(Statement)
 ForInit <- LocalVar | Expr (',' Expr)*
 Try <- 'try' ('(' Resource (';' Resource)* ';'? ')' Block Catch* Finally? | Block (Catch+ Finally? | Finally))
@@ -310,7 +312,7 @@ ArrowCase <- CaseLabel '->' (Block | 'throw' Expr ';' | Expr ';')
 OldCase <- (CaseLabel ':')+ BlockItem*
 CaseLabel <- 'case' CaseItem (',' CaseItem)* ('when' Expr)? | 'default'
 CaseItem <- 'default' | CasePattern | Cond
-CasePattern <- (Annotation | 'final')* Type ('(' (CasePattern (',' CasePattern)*)? ')' Id? | Id)
+CasePattern <- (Annotation | 'final')* Type ('(' (CasePattern (',' CasePattern)*)? ')' | Id)
 Expr <- Lambda | Target AssignOp Expr | Cond
 AssignOp <- '=' | /(?:\+|-|\*|\/|%|&|\||\^|<<|>>>|>>)=/
 Target <- Postfix
@@ -466,7 +468,7 @@ Simple <- TypeAlias &End | Assignment &End | Import | Return | Raise | 'pass' |
  | ('global' | 'nonlocal') Name (',' Name)* | StarExprs
 End <- ';' | NL
 TypeAlias <- 'type' Name TypeParams? '=' Expr
-Assignment <- (SingleSubscript | Name | '(' SingleTarget ')') ':' Expr ('=' Annotated)? | (StarTargets '=' !'=')+ Annotated | SingleTarget AugOp Annotated
+Assignment <- &/[^\x01;]*?[=:]/ (SingleSubscript | Name | '(' SingleTarget ')') ':' Expr ('=' Annotated)? | (StarTargets '=' !'=')+ Annotated | SingleTarget AugOp Annotated
 Annotated <- Yield | StarExprs
 AugOp <- /(?:\*\*|\/\/|>>|<<|[+\-*@\/%&|^])=/
 SingleTarget <- SingleSubscript | Name | '(' SingleTarget ')'
@@ -516,24 +518,23 @@ PatternArg <- Name '=' AsPattern | AsPattern
 PatternItem <- '**' Name | (Dotted | '-'? Number | String+ | 'None' | 'True' | 'False') ':' AsPattern
 StarExprs <- Yield | StarExpr (',' StarExpr)* ','?
 StarExpr <- '*' BitOr | NamedExpr
-NamedExpr <- Name ':=' Expr | Expr !':='
-Yield <- 'yield' ('from' Expr | StarExprs)?
+NamedExpr <- Expr !':=' | Name ':=' Expr
+Yield <- 'yield' ?fn ('from' Expr | StarExprs)?
 Expr <- Lambda | Disjunction ('if' Disjunction 'else' Expr)?
 Lambda <- 'lambda' LambdaParams? ':' Expr
 LambdaParams <- LambdaParam (',' LambdaParam)* ','?
 LambdaParam <- '**' Name | '*' Name? | '/' | Name ('=' Expr)?
-Disjunction <- Conjunction ('or' Conjunction)*
-Conjunction <- Inversion ('and' Inversion)*
-Inversion <- 'not' Inversion | Comparison
-Comparison <- BitOr (CompareOp BitOr)*
-CompareOp <- /==|!=|<=|>=|<(?!<)|>(?!>)/ | 'not' 'in' | 'in' | 'is' 'not' | 'is'
+Disjunction <- Negated (('or' | 'and') Negated | (BitOp | CompareOp) BitTerm)*
+Negated <- /(?:not(?!\w)[ \t\f\r\n]*)*/ BitTerm
+CompareOp <- /==|!=|<=|>=|<(?!<)|>(?!>)/ | /not(?!\w)[\s\\]+in(?!\w)/ | 'in' | /is(?!\w)[\s\\]+not(?!\w)/ | 'is'
 BitOr <- BitTerm (BitOp BitTerm)*
 BitOp <- /(?:<<|>>|\/\/|\*\*|[+\-*\/%@&|^])(?!=)/
-BitTerm <- ('+' | '-' | '~') BitTerm | 'await'? Atom Trailer*
+BitTerm <- ('+' | '-' | '~') BitTerm | ('await' ?fn)? Atom Trailer*
 Trailer <- Access | Call
 Call <- '(' Args? ')'
-Args <- Arg (',' Arg)* ','?
-Arg <- '**' Expr | '*' Expr | Name '=' Expr | NamedExpr CompFor | NamedExpr !'='
+Args <- Plain (',' Plain)* (',' Keyword)* ','? &')' | Keyword (',' Keyword)* ','?
+Plain <- '*' Expr | NamedExpr CompFor? !'='
+Keyword <- '**' Expr | Name '=' Expr | '*' Expr
 Slices <- Slice (',' Slice)* ','?
 Slice <- '*' BitOr | Expr? ':' Expr? (':' Expr?)? | NamedExpr
 Atom <- String+ | Name | 'True' | 'False' | 'None' | Number | '...' | Paren | ListAtom | Braces
@@ -547,88 +548,85 @@ _PY_OPERATORS = ". ... , : := ; = == ( ) [ ] { } @ @= -> - -= + += * *= ** **= /
 
 @lru_cache(maxsize=1)
 def python_grammar() -> Grammar:
-    return Grammar(PYTHON, trivia=r"[ \t\f]+|\\\r?\n", operators=_PY_OPERATORS, words=r"\w")
+    return Grammar(PYTHON, trivia=r"[ \t\f\r\n]+|\\\r?\n|#[^\r\n\x01]*+", operators=_PY_OPERATORS, words=r"\w")
 
 
 _PY_TOKEN = re.compile(
     r"""(?P<str>(?<!\w)[rRbBuUfFtT]{0,2}(?:\"\"\"|'''))|(?P<one>(?<!\w)[rRbBuUfFtT]{0,2}(?:"(?:[^"\\\r\n]|\\(?:\r\n|[\s\S]))*+"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*+'))"""
-    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<com>\#[^\r\n]*)|(?P<cont>\\\r?\n)|(?P<nl>\r\n|\n|\r)"""
+    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<com>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))|(?P<nl>\r\n|\n|\r)|(?P<sign>[\x01-\x03])"""
 )
+_PY_TEXT = {q: re.compile(rf"(?:[^\\{q[0]}]|\\[\s\S]|{q[0]}(?!{q[1:]}))*+{q}") for q in ('"""', "'''")}
+_PY_INDENT = re.compile(r"[ \t\f]*")
+_PY_REST = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
 def python_lines(text: str) -> tuple[str | None, list[tuple[int, int]], int]:
-    """(text with explicit lines and blocks, where its parts come from, first fault); no text if there is a fault."""
+    """(text with explicit lines and blocks, where its parts come from, first fault); no text if there is a fault.
+
+    Only signs are put in between: what the grammar skips, comments and line ends within brackets among it, stays.
+    """
     out: list[str] = []
     origin: list[tuple[int, int]] = []
-    size, stack, indents = 0, [], [0]
-    at, line_start, fresh = 0, 0, True
+    size, done, stack, indents = 0, 0, [], [0]
+    at, fresh, n = 0, True, len(text)
 
-    def put(piece: str, source: int) -> None:
-        nonlocal size
-        origin.append((size, source))
-        out.append(piece)
-        size += len(piece)
+    def put(sign: str, upto: int) -> None:
+        """The text up to ``upto``, then ``sign``."""
+        nonlocal size, done
+        origin.append((size, done))
+        out.append(text[done:upto])
+        out.append(sign)
+        size += upto - done + len(sign)
+        done = upto
 
-    n = len(text)
     while at <= n:
         if fresh and not stack:
             # the indentation of a logical line; blank and comment lines have none
-            m = re.compile(r"[ \t\f]*").match(text, at)
+            m = _PY_INDENT.match(text, at)
             body = m.end()
             if body >= n:
                 break
             if text[body] in "\r\n#":
-                nl = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)").match(text, body)
-                at = nl.end()
+                at = _PY_REST.match(text, body).end()
+                continue
+            if text[body] == "\\" and text[body + 1 : body + 2] in ("\n", "\r"):
+                # an empty line continued: its indentation is that of what follows
+                at = _PY_REST.match(text, body).end()
                 continue
             width = len(m.group().rpartition("\f")[2].expandtabs(8))
             if width > indents[-1]:
                 indents.append(width)
-                put("\x02", at)
+                put("\x02", body)
             else:
                 while width < indents[-1]:
                     indents.pop()
-                    put("\x03", at)
+                    put("\x03", body)
                 if width != indents[-1]:
                     return None, origin, body
             at, fresh = body, False
         m = _PY_TOKEN.search(text, at)
         if m is None:
-            put(text[at:], at)
-            at = n
             break
-        put(text[at : m.start()], at)
-        kind, tok = m.lastgroup, m.group()
-        at = m.end()
+        kind, at = m.lastgroup, m.end()
         if kind == "str":
-            quote = tok[-3:]
-            end = re.compile(rf"(?:[^\\{quote[0]}]|\\[\s\S]|{quote[0]}(?!{quote[1:]}))*+{quote}").match(text, at)
+            end = _PY_TEXT[m.group()[-3:]].match(text, at)
             if end is None:
                 return None, origin, m.start()
-            put(text[m.start() : end.end()], m.start())
             at = end.end()
-        elif kind == "one":
-            put(tok, m.start())
         elif kind == "open":
-            stack.append(tok)
-            put(tok, m.start())
+            stack.append(m.group())
         elif kind == "close":
-            if not stack or stack.pop() != _PAIRS[tok]:
+            if not stack or stack.pop() != _PAIRS[m.group()]:
                 return None, origin, m.start()
-            put(tok, m.start())
-        elif kind == "nl":
-            if stack:
-                put(" ", m.start())
-            else:
-                put("\x01", m.start())
-                fresh = True
-        elif kind == "cont":
-            put(" ", m.start())
+        elif kind == "nl" and not stack:
+            put("\x01", m.start())
+            fresh = True
+        elif kind == "sign":
+            return None, origin, m.start()
     if stack:
         return None, origin, n
-    if not fresh:
-        put("\x01", n)
+    put("\x01" if not fresh else "", n)
     for _ in indents[1:]:
         put("\x03", n)
     return "".join(out), origin, -1

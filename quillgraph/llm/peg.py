@@ -9,6 +9,7 @@ A grammar is a list of rules ``Name <- expression``; a rule goes on until the ne
     @name(a)  within ``a`` the context ``name`` holds;  ?name  succeeds where it does
     ^nl   a line end stands before;  ^!nl  none does
     $Name  a rule that is one token, whose text is held within the rule around it;  =Name  the same token with the held text
+    ~Name  the same token with the text that was held where the ``cls`` context around it began
 
 After each token white space and comments are skipped. Each rule becomes a Python function from position to position (-1:
 no match), with its results kept by position, so no rule is tried twice at one place. A text is accepted if the first rule
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 _LEX = re.compile(
     r"""\s+|\#[^\n]*|(?P<arrow><-)|(?P<tok>'(?:[^'\\]|\\.)*')|(?P<raw>"(?:[^"\\]|\\.)*")|(?P<re>/(?:[^/\\]|\\.)+/)"""
-    r"""|(?P<nl>\^!?nl)|(?P<ctx>@[a-z]+)|(?P<has>\?[a-z]+)|(?P<hold>[$=])|(?P<op>[|*+?&!()])|(?P<name>[A-Za-z_]\w*)"""
+    r"""|(?P<nl>\^!?nl)|(?P<ctx>@[a-z]+)|(?P<has>\?[a-z]+)|(?P<hold>[$=~])|(?P<op>[|*+?&!()])|(?P<name>[A-Za-z_]\w*)"""
 )
 
 
@@ -49,6 +50,7 @@ class Grammar:
         for name in self._used:
             if name not in self.rules:
                 raise ValueError(f"no rule {name}")
+        self._simplify()
         self._skip = re.compile(f"(?:{self.trivia})*+").match
         self._uses: dict[str, int] = {}
         self._parsers: dict = {}
@@ -128,7 +130,7 @@ class Grammar:
         if kind == "has":
             return ("has", val[1:])
         if kind == "hold":
-            return ("hold" if val == "$" else "same", self._atom())
+            return ({"$": "hold", "=": "same", "~": "own"}[val], self._atom())
         if kind == "nl":
             return ("nl", val == "^nl")
         return ("term", self._terminal(kind, val))
@@ -147,13 +149,54 @@ class Grammar:
                     longer = [re.escape(o[len(body) :]) for o in self.operators if o.startswith(body) and o != body]
                     if longer:
                         rx += f"(?!{'|'.join(longer)})"
-        bare = rx
+        return self._numbered(rx)
+
+    def _numbered(self, bare: str) -> int:
         # most tokens are followed by one space or none; the general form is for the others
-        rx = rf"(?:{rx})(?: ?+(?![\s/\\\ufeff])|(?:{self.trivia})*+)"
+        rx = rf"(?:{bare})(?: ?+(?![\s/\\\ufeff{'#' * ('#' in self.trivia)}])|(?:{self.trivia})*+)"
         i = self.terminals.setdefault(rx, len(self.terminals))
         self.bare[i] = bare
         return i
 
+    def _simplify(self) -> None:
+        """Write rules of one token in place of their names, and neighbouring tokens of a choice as one pattern: white space
+        behind a token always matches, so a pattern's ordered alternatives choose as the grammar's do."""
+
+        def plain(e: tuple) -> bool:
+            return e[0] == "term" and re.compile(self.bare[e[1]]).groups == 0
+
+        seen: set[str] = set()
+
+        def rule(name: str) -> tuple:
+            if name not in seen:
+                seen.add(name)
+                self.rules[name] = simple(self.rules[name])
+            return self.rules[name]
+
+        def simple(e: tuple) -> tuple:
+            kind = e[0]
+            if kind == "rule":
+                own = rule(e[1])
+                return own if own[0] == "term" and e[1] != self.first else e
+            if kind == "seq":
+                return ("seq", [simple(x) for x in e[1]])
+            if kind == "alt":
+                out: list[tuple] = []
+                for x in e[1]:
+                    x = simple(x)
+                    if out and plain(x) and plain(out[-1]):
+                        x = ("term", self._numbered(f"(?:{self.bare[out.pop()[1]]})|(?:{self.bare[x[1]]})"))
+                    out.append(x)
+                return out[0] if len(out) == 1 else ("alt", out)
+            if kind in ("star", "plus", "opt", "and", "not"):
+                return (kind, simple(e[1]))
+            if kind == "ctx":
+                return (kind, e[1], simple(e[2]))
+            return e
+
+        for name in self.rules:
+            rule(name)
+
     # generating ---------------------------------------------------------------------------------------------------
 
     def _first(self, e: tuple, busy: frozenset = frozenset()) -> frozenset | None:
@@ -180,7 +223,7 @@ class Grammar:
         if kind == "alt":
             sets = [self._first(x, busy) for x in e[1]]
             return None if None in sets else frozenset().union(*sets)
-        if kind in ("plus", "hold", "same"):
+        if kind in ("plus", "hold", "same", "own"):
             return self._first(e[1], busy)
         if kind == "ctx":
             return self._first(e[2], busy)
@@ -196,7 +239,7 @@ class Grammar:
                 elif e[0] in ("seq", "alt"):
                     for x in e[1]:
                         walk(x, inside)
-                elif e[0] in ("star", "plus", "opt", "and", "not", "hold", "same"):
+                elif e[0] in ("star", "plus", "opt", "and", "not", "hold", "same", "own"):
                     walk(e[1], inside)
                 elif e[0] == "ctx":
                     walk(e[2], inside)
@@ -205,13 +248,15 @@ class Grammar:
                 walk(e, name)
         return self._uses.get(rule, 0)
 
-    def _guard(self, e: tuple, at: str) -> str | None:
-        """A test of the next character that rules ``e`` out, before its terminals are tried; characters beyond ASCII pass."""
+    def _guard(self, e: tuple, c: str) -> str | None:
+        """A test of the next character ``c`` that rules ``e`` out, before its terminals are tried; characters beyond ASCII pass."""
         chars = self._first(e)
         if chars is None or len(chars) > 90:
             return None
+        if len(chars) == 1 and self._ascii:
+            return f"{c} == {next(iter(chars))!r}"
         name = self._sets.setdefault(chars, f"S{len(self._sets)}")
-        return f"s[{at} : {at} + 1] in {name}" if self._ascii else f"(s[{at} : {at} + 1] in {name} or s[{at} : {at} + 1] > '~')"
+        return f"{c} in {name}" if self._ascii else f"({c} in {name} or {c} > '~')"
 
     def _parser(self, track: bool, ascii_only: bool):
         """The generated parser; for texts of ASCII alone one with cheaper tests, with ``track`` the one that notes failures."""
@@ -230,24 +275,25 @@ class Grammar:
             out.append(f"    M_{rule} = {{}}")
         for rule, expr in self.rules.items():
             # a rule with one place of use is tried once for each try of the rule around it, whose results are kept
-            simple = expr[0] == "term" or (expr[0] == "alt" and all(x[0] == "term" for x in expr[1])) or (self._sites(rule) == 1 and rule != self.first)
+            simple = expr[0] == "term" or (self._sites(rule) == 1 and rule != self.first)
             out.append(f"    def r_{rule}(p):")
             if not simple:
                 out += [f"        q = M_{rule}.get(p)", "        if q is not None: return q", f"        M_{rule}[p] = -1"]
-            self._top = rule == self.first
+            self._top, self._holds = rule == self.first, False
             self._emit(expr, "p", "q", 2, out, track)
             out += ([] if simple else [f"        M_{rule}[p] = q"]) + ["        return q"]
         source = [
             "def build(T, B, S, nl):",
             *[f"    T{i} = T[{i}]" for i in range(len(self.terminals))],
             *[f"    {name} = S[{name!r}]" for name in self._sets.values()],
-            "    s, far, kept = '', 0, 0",
+            "    s, n, far, kept = '', 0, 0, 0",
             "    fn = loop = switch = cls = 0",
             *out,
             f"    memos = ({', '.join(f'M_{r}' for r in self.rules)},)",
             "    def parse(text, begin):",
-            "        nonlocal s, far, kept, fn, loop, switch, cls",
-            "        s, far, kept = text, begin, begin",
+            "        nonlocal s, n, far, kept, fn, loop, switch, cls",
+            # one more character, so that the next one can always be looked at; patterns end before it
+            "        s, n, far, kept = text + '\\0', len(text), begin, begin",
             "        fn = loop = switch = cls = 0",
             "        try:",
             f"            return r_{self.first}(begin), far",
@@ -271,7 +317,7 @@ class Grammar:
     def _emit(self, e: tuple, p: str, q: str, d: int, out: list[str], track: bool) -> None:
         pad, kind = "    " * d, e[0]
         if kind == "term":
-            out.append(f"{pad}m = T{e[1]}(s, {p})")
+            out.append(f"{pad}m = T{e[1]}(s, {p}, n)")
             if track:
                 out.append(f"{pad}if m: {q} = m.end()\n{pad}else:\n{pad}    {q} = -1\n{pad}    if {p} > far: far = {p}")
             else:
@@ -291,20 +337,23 @@ class Grammar:
                 self._emit(item, at, to, d, out, track)
                 at = to
         elif kind == "alt":
-            start = self._var()
+            start, c = self._var(), self._var()
             out.append(f"{pad}{start} = {p}")
             out.append(f"{pad}{q} = -1")
+            guards = [None if track else self._guard(item, c) for item in e[1]]
+            if any(guards):
+                out.append(f"{pad}{c} = s[{start}]")
             for i, item in enumerate(e[1]):
                 tests = [f"{q} < 0"] if i else []
-                if item[0] != "term" and not track and (guard := self._guard(item, start)):
-                    tests.append(guard)
+                if guards[i]:
+                    tests.append(guards[i])
                 if tests:
                     out.append(f"{pad}if {' and '.join(tests)}:")
                 self._emit(item, start, q, d + bool(tests), out, track)
         elif kind in ("star", "plus", "opt"):
             cur, nxt = self._var(), self._var()
             out.append(f"{pad}{cur} = {p}")
-            guard = self._guard(e[1], cur) if e[1][0] != "term" and not track else None
+            guard = None if track else self._guard(e[1], f"s[{cur}]")
             if kind == "opt":
                 if guard:
                     out += [f"{pad}{nxt} = -1", f"{pad}if {guard}:"]
@@ -327,20 +376,21 @@ class Grammar:
         elif kind == "ctx":
             keep, start = self._var(), self._var()
             out.append(f"{pad}{start} = {p}; {keep} = (fn, loop, switch, cls)")
-            out.append(pad + {"fn": "fn = 1; loop = switch = 0", "cls": "cls = 1; fn = loop = switch = 0", "loop": "loop += 1", "switch": "switch += 1"}[e[1]])
+            out.append(pad + {"fn": "fn = 1; loop = switch = 0", "cls": f"cls = {'held' if self._holds else 1}; fn = loop = switch = 0", "loop": "loop += 1", "switch": "switch += 1"}[e[1]])
             self._emit(e[2], start, q, d, out, track)
             out.append(f"{pad}fn, loop, switch, cls = {keep}")
         elif kind == "has":
             test = {"fn": "fn", "loop": "loop", "brk": "loop or switch"}[e[1]]
             out.append(f"{pad}{q} = {p} if {test} else -1")
-        elif kind in ("hold", "same"):
+        elif kind in ("hold", "same", "own"):
             i = self.rules[e[1][1]][1]
             self._held.add(i)
             self._emit(e[1], p, q, d, out, track)
             if kind == "hold":
-                out.append(f"{pad}if {q} >= 0: held = B[{i}](s, {p})[0]")
+                self._holds = True
+                out.append(f"{pad}if {q} >= 0: held = B[{i}](s, {p}, n)[0]")
             else:
-                out.append(f"{pad}if {q} >= 0 and B[{i}](s, {p})[0] != held:\n{pad}    {q} = -1")
+                out.append(f"{pad}if {q} >= 0 and B[{i}](s, {p}, n)[0] != {'held' if kind == 'same' else 'cls'}:\n{pad}    {q} = -1")
                 if track:
                     out.append(f"{pad}    if {p} > far: far = {p}")
         elif kind == "nl":

@@ -30,33 +30,22 @@ _MARKUP = re.compile(r"\A\s*<(?:!doctype|html|\?xml)", re.I)
 
 
 def _python_fault(text: str) -> int:
-    """Where a Python text fails, -1 if it is valid. The compiler decides; the grammar gives the position, and the verdict only
-    where the compiler runs out of memory or depth."""
+    """Where a Python text fails, -1 if it is valid. The grammar decides; what it rejects goes through the compiler as an exact
+    check, which clears texts that only a gap of the grammar rejects."""
     lined, origin, fault = python_lines(text)
-    undecided = False
     if lined is not None:
-        try:
-            v = python_grammar().check(lined)
-        except (RecursionError, MemoryError):
-            undecided = True
-        else:
-            if not v.ok:
-                at, source = origin[max(0, bisect_right(origin, (v.position, len(text) + 1)) - 1)]
-                fault = min(len(text), source + v.position - at)
+        v = python_grammar().check(lined)
+        if v.ok:
+            return -1
+        at, source = origin[max(0, bisect_right(origin, (v.position, len(text) + 1)) - 1)]
+        fault = min(len(text), source + v.position - at)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(text, "<text>", "exec", dont_inherit=True)
         return -1
-    except SyntaxError as e:
-        if fault >= 0:
-            return fault
-        lines = text.splitlines(keepends=True)
-        return min(len(text), sum(map(len, lines[: (e.lineno or 1) - 1])) + (e.offset or 1) - 1)
-    except ValueError:
-        return max(fault, 0)
-    except (MemoryError, RecursionError, OverflowError):
-        return UNDECIDED if undecided else fault
+    except (SyntaxError, ValueError, MemoryError, RecursionError, OverflowError):
+        return fault
 
 
 def fault_of(text: str, ext: str) -> int:
