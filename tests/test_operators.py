@@ -99,6 +99,29 @@ def test_key_profile(spark):
     assert skew.key_profile(df.limit(0), "key", callers=F.col("value"), confidence=F.col("n"), months=F.col("what")).count() == 0
 
 
+def test_medians_by_ranges(spark):
+    rng = random.Random(4)
+    rows = [(f"k{i % 5}", rng.choice([0.0, 1.0, 0.5, 0.5000001, rng.random(), rng.random() / 5000, rng.random() ** 9]), rng.randint(1, 4)) for i in range(400)]
+    rows += [("one", 1.0, 1), ("two", 0.0, 1), ("two", 1.0, 1), ("even", 0.25, 7), ("even", 0.75, 7), ("near", 0.3, 1), ("near", 0.3 + 1e-12, 1)]
+    df = spark.createDataFrame(rows, "key string, v double, n bigint")
+    want = {}
+    for k, v, n in rows:
+        want.setdefault(k, []).extend([v] * n)
+    got = {r["key"]: r["median"] for r in skew.weighted_medians(df).collect()}
+    assert got == {k: pytest.approx((sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2, abs=0) for k, v in want.items()}
+    assert skew.weighted_medians(df.limit(0)).count() == 0
+
+
+def test_hot_references_are_spread(spark):
+    refs = spark.createDataFrame([(str(i), "hot" if i % 3 else None if i % 2 else f"r{i}", T + i * DAY) for i in range(600)], "record_key string, ref string, at timestamp")
+    parents = spark.createDataFrame([("hot", T, T + 100 * DAY), ("hot", T + 200 * DAY, None), ("r6", T + 9 * DAY, None)], "id string, indexed_at timestamp, deleted_at timestamp")
+    heavy = {r["ref"]: r["parts"] for r in skew.heavy_keys(refs, "ref", 0.01).collect()}
+    assert heavy == {"hot": 67}
+    got = {int(r["record_key"]): r["status"] for r in orphans.classify_references(refs, parents).collect()}
+    assert len(got) == 600 and all(got[i] == ("deleted" if 100 <= i < 200 else "live") for i in range(600) if i % 3)
+    assert got[6] == "late" and got[12] == "missing"
+
+
 def _graph(spark):
     n = nodes(spark, [(i, "function", i, f"{i}.ts", 1, None, None, None) for i in "abcdef"] + [("r", "route", "GET /x", "a.ts", 5, None, None, {"handlerName": "a"})])
     e = spark.createDataFrame([(f"{k}{a}{b}", k, a, b, c, f"{a}.ts") for k, a, b, c in [("calls", "a", "b", 0.9), ("calls", "b", "c", 0.8), ("calls", "c", "a", 0.5), ("calls", "a", "d", 0.95), ("handles", "r", "a", 0.95), ("calls", "d", "zz", 1.0)]], EDGE)
