@@ -1,10 +1,13 @@
 """Most similar vectors by additive quantisation.
 
 A vector is approximated by the sum of one codeword from each of several full-dimensional codebooks, fitted one after
-the other on what the earlier ones leave (residuals) and encoded by beam search. The first codebook also divides the
-collection into cells. A query visits the cells whose codewords are nearest, scores the codes there through lookup
-tables of its products with all codewords, keeps what the stored norms leave possible, and reranks that exactly.
+the other on what the earlier ones leave (residuals) and encoded by beam search. The codewords of the first codebook, or of
+the first few, also divide the collection into cells. A query visits the cells whose sums of codewords are nearest, scores the
+codes there through lookup tables of its products with all codewords, keeps what the stored norms leave possible, and reranks
+that exactly.
 
+The number of cells follows the number of rows (``cell_rows`` in each), so a query meets as many rows in a large collection as
+in a small one: the first codebook grows up to ``cells_max`` words, then the codewords of further ones divide its cells.
 Codebooks are fitted on a bounded sample (``train_rows`` for each dimension, the smallest hashes of the ids); every row
 is encoded and indexed. Cells larger than ``block`` rows are divided, so that no task holds an unbounded cell.
 """
@@ -28,11 +31,13 @@ from ..session import materialise
 @dataclass(frozen=True)
 class AqConfig:
     train_rows: int = 20_000
+    cell_rows: int = 512
     cells_max: int = 2_048
     books: int = 4
     words: int = 128
     beam: int = 4
-    probes: int = 5
+    probes: int = 6
+    widen: int = 5
     block: int = 4_096
     iterations: int = 6
 
@@ -60,16 +65,58 @@ def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit_books(sample: np.ndarray, total: int, cfg: AqConfig) -> list[np.ndarray]:
-    """The codebooks of one dimension: the first with about sqrt(total) words, the others with ``cfg.words``."""
+def book_sizes(total: int, sample: int, cfg: AqConfig) -> tuple[list[int], int]:
+    """(words of each codebook, how many of them divide the cells) for ``total`` rows: the first get what the cells need, with
+    more than ``cfg.books`` codebooks only where the cells need them."""
+    most = max(1, sample // 4)
+    wanted = max(1, math.ceil(total / cfg.cell_rows))
+    sizes = [min(cfg.cells_max, wanted, most)]
+    while math.prod(sizes) < wanted and most > 1:
+        sizes.append(min(cfg.words, most, math.ceil(wanted / math.prod(sizes))))
+    depth = len(sizes)
+    return sizes + [min(cfg.words, most)] * (cfg.books - depth), depth
+
+
+def fit_books(sample: np.ndarray, total: int, cfg: AqConfig) -> tuple[list[np.ndarray], int]:
+    """The codebooks of one dimension, and how many of them divide the cells."""
     rng = np.random.default_rng(7)
     books, rest = [], sample.astype(np.float32)
-    for m in range(cfg.books):
-        k = min(cfg.cells_max, max(1, round(math.sqrt(total)))) if m == 0 else cfg.words
-        book = _kmeans(rest, min(k, max(1, len(sample) // 4)), cfg.iterations, rng)
+    sizes, depth = book_sizes(total, len(sample), cfg)
+    for k in sizes:
+        book = _kmeans(rest, k, cfg.iterations, rng)
         rest = rest - book[_nearest(rest, book, 1)[:, 0]]
         books.append(book)
-    return books
+    return books, depth
+
+
+def nearest_cells(x: np.ndarray, books: list[np.ndarray], depth: int, n: int, widen: int) -> np.ndarray:
+    """Numbers of the ``n`` cells nearest to each row, nearest first, ``n * widen`` where further codebooks divide them; found by a
+    beam over the codebooks. """
+    cells = _nearest(x, books[0], n * 2 if depth > 1 else n)
+    if depth == 1:
+        return cells
+    out = []
+    for i in range(0, len(x), 1024):
+        part, cell = x[i : i + 1024], cells[i : i + 1024]
+        rest = part[:, None, :] - books[0][cell]
+        for book in books[1:depth]:
+            width = rest.shape[1]
+            far = ((rest**2).sum(2)[:, :, None] + (book**2).sum(1) - 2 * (rest.reshape(-1, x.shape[1]) @ book.T).reshape(len(part), width, -1)).reshape(len(part), -1)
+            keep = min(n * widen, far.shape[1])
+            best = np.argpartition(far, keep - 1, axis=1)[:, :keep]
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(far, best, 1), axis=1, kind="stable"), 1)
+            where, word = np.divmod(best, len(book))
+            rest = np.take_along_axis(rest, where[:, :, None], 1) - book[word]
+            cell = np.take_along_axis(cell, where, 1) * len(book) + word
+        out.append(cell)
+    return np.concatenate(out) if out else np.zeros((0, n), dtype=np.int64)
+
+
+def cells_of(codes: np.ndarray, books: list[np.ndarray], depth: int) -> np.ndarray:
+    cell = codes[:, 0].astype(np.int64)
+    for m in range(1, depth):
+        cell = cell * len(books[m]) + codes[:, m]
+    return cell
 
 
 def encode(x: np.ndarray, books: list[np.ndarray], beam: int) -> np.ndarray:
@@ -117,28 +164,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_CODED = "node_id string, dim int, cell int, codes binary, norm float, err float, vec binary, probes array<int>"
+_CODED = "node_id string, dim int, cell bigint, codes binary, norm float, err float, vec binary, probes array<bigint>"
 
 
-def _encoder(books_by_dim: dict[int, list[np.ndarray]], cfg: AqConfig):
+def _encoder(books_by_dim: dict[int, tuple[list[np.ndarray], int]], cfg: AqConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column(1).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
                 unit = _unit(np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)).astype(np.float32)
-                books = books_by_dim[int(dim)]
+                books, depth = books_by_dim[int(dim)]
                 codes = encode(unit, books, cfg.beam)
                 approx = _decode(codes, books)
-                probes = _nearest(unit, books[0], cfg.probes)
+                probes = nearest_cells(unit, books, depth, cfg.probes, cfg.widen)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1).cast(pa.int32()), pa.array(codes[:, 0].astype(np.int32)),
+                        part.column(0), part.column(1).cast(pa.int32()), pa.array(cells_of(codes, books, depth)),
                         pa.array([c.tobytes() for c in codes], pa.binary()),
                         pa.array((approx**2).sum(1).astype(np.float32)),
                         pa.array(np.linalg.norm(unit - approx, axis=1).astype(np.float32)),
                         pa.array([u.tobytes() for u in unit], pa.binary()),
-                        pa.array(list(probes.astype(np.int32)), pa.list_(pa.int32())),
+                        pa.array(list(probes), pa.list_(pa.int64())),
                     ],
                     names=["node_id", "dim", "cell", "codes", "norm", "err", "vec", "probes"],
                 )
@@ -164,36 +211,39 @@ class VectorIndex:
             cut = min(1.0, 1.5 * cfg.train_rows / n)
             hashed = F.pmod(F.xxhash64("node_id"), F.lit(1 << 20))
             sampled += [usable.where((F.col("dim") == dim) & (hashed < int(cut * (1 << 20)) + 1)).orderBy(hashed, "node_id").limit(cfg.train_rows)]
-        self.books: dict[int, list[np.ndarray]] = {}
+        self.books: dict[int, tuple[list[np.ndarray], int]] = {}
         for dim, df in zip(sizes, sampled):
             vecs = df.select("vec").toArrow().column(0).combine_chunks()
             unit = _unit(np.asarray(vecs.flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)) if len(vecs) else np.zeros((1, dim))
             self.books[dim] = fit_books(unit, sizes[dim], cfg)
         self.spark = spark
         self.coded = materialise(usable.mapInArrow(_encoder(self.books, cfg), _CODED))
-        #: rows of each cell, at most cells_max for each dimension
+        #: rows of each cell
         self.cells = self.coded.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("rows"))
 
-    def _units(self, queries: DataFrame, probes: int) -> DataFrame:
+    def _units(self, queries: DataFrame) -> DataFrame:
         """Index rows and queries side by side, keyed by (dim, cell, block, part); each query meets each block once."""
         cfg = self.cfg
-        asked = queries.select("node_id", "dim", "vec", F.explode(F.slice("probes", 1, probes)).alias("cell"))
+        asked = queries.select("node_id", "dim", "vec", F.explode("probes").alias("cell"))
         load = asked.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("asked"))
-        plan = F.broadcast(
+        # cells that are met as one piece, which are most, need no row here; Spark broadcasts the others if they are few
+        plan = (
             self.cells.join(load, ["dim", "cell"])
             .select(
                 "dim", "cell",
                 F.ceil(F.col("rows") / cfg.block).cast("int").alias("blocks"),
                 F.ceil(F.col("asked") / (4 * cfg.block)).cast("int").alias("parts"),
             )
+            .where("blocks > 1 OR parts > 1")
         )
-        spread = lambda n, salt: F.pmod(F.xxhash64("node_id", F.lit(salt)), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        n = lambda c: F.coalesce(F.col(c), F.lit(1))
+        spread = lambda c, salt: F.pmod(F.xxhash64("node_id", F.lit(salt)), n(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), n(c) - 1))
         no = F.lit(None)
-        index = self.coded.join(plan, ["dim", "cell"]).select(
+        index = self.coded.join(plan, ["dim", "cell"], "left").select(
             "dim", "cell", spread("blocks", 1).alias("block"), every("parts").alias("part"), "node_id", "vec", "codes", "norm", "err"
         )
-        ask = asked.join(plan, ["dim", "cell"]).select(
+        ask = asked.join(plan, ["dim", "cell"], "left").select(
             "dim", "cell", every("blocks").alias("block"), spread("parts", 2).alias("part"), "node_id", "vec",
             no.cast("binary").alias("codes"), no.cast("float").alias("norm"), no.cast("float").alias("err"),
         )
@@ -210,7 +260,7 @@ class VectorIndex:
         def score(keys, t):
             return _score(t, books, threshold, None)
 
-        found = self._units(self.coded, self.cfg.probes).groupBy("dim", "cell", "block", "part").applyInArrow(
+        found = self._units(self.coded).groupBy("dim", "cell", "block", "part").applyInArrow(
             score, "q string, x string, cosine double"
         )
         return (
@@ -226,8 +276,8 @@ class VectorIndex:
         def score(keys, t):
             return _score(t, books, None, k)
 
-        wide = queries.mapInArrow(_prober(books, probes), "node_id string, dim int, vec binary, probes array<int>")
-        found = self._units(wide, probes).groupBy("dim", "cell", "block", "part").applyInArrow(score, "q string, x string, cosine double")
+        wide = queries.mapInArrow(_prober(books, probes, self.cfg.widen), "node_id string, dim int, vec binary, probes array<bigint>")
+        found = self._units(wide).groupBy("dim", "cell", "block", "part").applyInArrow(score, "q string, x string, cosine double")
         best = Window.partitionBy("q").orderBy(F.desc("cosine"), "x")
         return (
             found.withColumn("rank", F.row_number().over(best))
@@ -236,7 +286,7 @@ class VectorIndex:
         )
 
 
-def _prober(books: dict[int, list[np.ndarray]], probes: int):
+def _prober(books: dict[int, tuple[list[np.ndarray], int]], probes: int, widen: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(b.schema.get_field_index(n)) for n in ("node_id", "dim", "vec")}
@@ -244,19 +294,19 @@ def _prober(books: dict[int, list[np.ndarray]], probes: int):
             for dim in np.unique(dims):
                 own = pa.array(dims == dim)
                 vec = cols["vec"].filter(own)
-                near = _nearest(_matrix(vec, int(dim)), books[int(dim)][0], probes)
+                near = nearest_cells(_matrix(vec, int(dim)), *books[int(dim)], probes, widen)
                 yield pa.RecordBatch.from_arrays(
-                    [cols["node_id"].filter(own), cols["dim"].filter(own), vec, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))],
+                    [cols["node_id"].filter(own), cols["dim"].filter(own), vec, pa.array(list(near), pa.list_(pa.int64()))],
                     names=["node_id", "dim", "vec", "probes"],
                 )
 
     return run
 
 
-def _score(t: pa.Table, books_by_dim: dict[int, list[np.ndarray]], threshold: float | None, k: int | None) -> pa.Table:
+def _score(t: pa.Table, books_by_dim: dict[int, tuple[list[np.ndarray], int]], threshold: float | None, k: int | None) -> pa.Table:
     """Lookup-table scores of one block of codes for its queries, what they leave possible, and the exact cosine of that."""
     dim = t.column("dim")[0].as_py()
-    books = books_by_dim[dim]
+    books, _ = books_by_dim[dim]
     asked = np.asarray(t.column("codes").is_null())
     index, ask = t.filter(pa.array(~asked)), t.filter(pa.array(asked))
     none = pa.table({"q": pa.array([], pa.string()), "x": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
@@ -270,9 +320,16 @@ def _score(t: pa.Table, books_by_dim: dict[int, list[np.ndarray]], threshold: fl
     step = max(1, 4_000_000 // len(x))
     for i in range(0, len(q), step):
         part = q[i : i + step]
-        score = (part @ books[0][codes[0, 0]])[:, None] + sum((part @ book.T)[:, codes[:, m + 1]] for m, book in enumerate(books[1:]))
+        score = np.zeros((len(part), len(x)), dtype=np.float32)
+        for m, book in enumerate(books):
+            used, at = np.unique(codes[:, m], return_inverse=True)
+            score += np.take(part @ book[used].T, at, axis=1)
         if threshold is not None:
-            a, b = np.nonzero(score >= (threshold - 1e-4) - err)
+            left = score >= (threshold - 1e-4) - err
+            # where much is left, its products are taken as one matrix; only what comes near the threshold is listed
+            if np.count_nonzero(left) > 0.05 * left.size:
+                left &= part @ x.T >= threshold - 1e-4
+            a, b = np.nonzero(left)
         else:
             far = norm - 2 * score
             keep = min(8 * k, len(x))
