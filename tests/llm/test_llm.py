@@ -293,9 +293,33 @@ def test_vectors_recall(spark):
     assert vectors.VectorIndex(df.limit(0)).pairs(0.9).count() == 0
 
 
+def test_cells_follow_the_rows():
+    cfg = vectors.AqConfig()
+    for total in (1, 500, 10_000, 10**6, 10**7, 10**9, 10**12):
+        sizes, depth = vectors.book_sizes(total, cfg.train_rows, cfg)
+        cells = np.prod(sizes[:depth], dtype=float)
+        assert len(sizes) >= cfg.books and total / cfg.cell_rows <= cells <= max(1, 2.1 * total / cfg.cell_rows)
+    assert vectors.book_sizes(0, 1, cfg) == ([1, 1, 1, 1], 1)
+
+
+def test_vectors_recall_in_divided_cells(spark):
+    """Two codebooks divide the cells, as they do in large collections."""
+    x = _clusters(3000, 32, 5)
+    df = spark.createDataFrame([(f"v{i:04}", 32, v.tolist()) for i, v in enumerate(x)], "node_id string, dim int, vec array<float>")
+    index = vectors.VectorIndex(df, vectors.AqConfig(cell_rows=10, cells_max=20))
+    assert index.books[32][1] == 2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    a, b = np.nonzero(np.triu(cos >= 0.9001, 1))
+    want = {(f"v{i:04}", f"v{j:04}") for i, j in zip(a, b)}
+    got = {(r["node_id_a"], r["node_id_b"]) for r in index.pairs(0.9).collect()}
+    assert len(want & got) >= 0.99 * len(want)
+
+
 def test_encoding_shrinks_the_error():
     x = vectors._unit(_clusters(600, 16, 2)).astype(np.float32)
-    books = vectors.fit_books(x, 600, vectors.AqConfig())
+    books, depth = vectors.fit_books(x, 600, vectors.AqConfig())
+    assert depth == 1
     errors = [np.linalg.norm(x - vectors._decode(vectors.encode(x, books[:m], 4), books[:m]), axis=1).mean() for m in (1, 2, 4)]
     assert errors[0] > errors[1] > errors[2]
 
@@ -338,6 +362,7 @@ def test_latent(spark):
     docs += [(900, say(40) + " " + " ".join(para) + " " + say(40)), (901, items[4][1]), (902, None), (903, "")]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items + [(99, None)], "item_id bigint, text string")
     model = leaks.LatentLeaks(d, i, leaks.LatentConfig(rank=48, features=1 << 10))
+    assert leaks.LatentLeaks(d, i, leaks.LatentConfig(rank=48, features=1 << 10), item_block=2).leaks().select("doc_id", "item_id").exceptAll(model.leaks().select("doc_id", "item_id")).count() == 0
     got = {(r["doc_id"], r["item_id"]) for r in model.leaks().collect()}
     assert {(900, 2), (901, 4)} <= got and len(got) <= 6
     assert list(model.singular) == sorted(model.singular, reverse=True)
@@ -345,6 +370,35 @@ def test_latent(spark):
     assert leaks.LatentLeaks(d, i.limit(0), leaks.LatentConfig(rank=8, features=64)).leaks().count() == 0
 
 
+def test_latent_recall(spark):
+    """Of verbatim runs, and of items with one word in eight replaced, at least nine in ten are found."""
+    root, rng = "/root/testdata/sf0.01", random.Random(5)
+    docs, items = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{root}/eval_items.parquet")
+    host = [r["text"].split() for r in docs.where("length(text) > 400").limit(150).collect()]
+    altered = []
+    for n, r in enumerate(items.collect()):
+        words = r["text"].split()
+        if len(words) >= 30:
+            at = rng.randint(0, len(words) - 30)
+            part = [rng.choice(["thing", "other", "often", "made"]) if rng.random() < 1 / 8 else w for w in words[at : at + 30]]
+            h = host[n % len(host)]
+            altered.append((10**9 + n, r["item_id"], " ".join(h[:20] + part + h[20:])))
+    more = spark.createDataFrame(altered, "doc_id bigint, item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.LatentLeaks(docs.unionByName(more.select("doc_id", "text")), items).leaks().collect()}
+    verbatim = {tuple(r) for r in leaks.verbatim_leaks(docs, items).collect()}
+    changed = {(d, i) for d, i, _ in altered}
+    assert len(got & verbatim) >= 0.9 * len(verbatim) and len(got & changed) >= 0.9 * len(changed) and len(changed) > 30
+    assert len(got - verbatim - changed) <= len(verbatim | changed)
+
+
+def test_items_by_direction_lose_nothing():
+    rng = np.random.default_rng(2)
+    items, y = leaks._unit_rows(rng.standard_normal((200, 8))), leaks._unit_rows(rng.standard_normal((500, 8)))
+    got = set(zip(*(x.tolist() for x in leaks._Items(items, 0.6).near(y)[:2])))
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(y @ items.T >= 0.6))))
+    assert len(leaks._Items(np.zeros((0, 8)), 0.6).near(y)[0]) == 0
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):
@@ -391,6 +445,23 @@ def test_abuse_sentences():
         assert g.score(t)[0] < abuse.MARK, t
 
 
+#: Sentences of other making than the tables', for what the grammar's parts are meant to reach.
+HELD_OUT_ABUSIVE = ["She is a worthless bitch.", "he is an idiot", "All the Jews should be gassed.", "You are a total waste of oxygen.", "You’re such a moron", "are you retarded?", "fuck you", "go kill yourself", "I'm going to kill you",
+                    "this reviewer is a moron", "whoever wrote this is a complete imbecile", "people like you are the problem", "Kill all Muslims", "a potato has more sense than you", "send me a naked picture", "I want to squeeze your ass", "immigrants are parasites",
+                    "women are too stupid to code", "nobody loves you", "you piece of trash", "Du bist ein Idiot", "eres una puta", "tu es un connard", "we will break your legs", "I know where you sleep", "hope you rot", "Black people are inferior", "deport all the Mexicans home",
+                    "you f*****g idiot, you are an id1ot", "keep thinking of her naked", "everybody hates you", "with a mind like yours you should not code", "hey moron, fix it", "what an absolute imbecile"]
+HELD_OUT_CLEAN = ["your old rat died", "your pig is healthy", "those are animals", "I will hit you up later", "I will end your subscription today.", "We will crush you at chess", "show me the nude color palette", "can you trash the folder", "this piece of garbage compiler",
+                  "they only multiply the matrices", "threads never wake up", "any idiot could do this", "you are not stupid", "I will shoot you an email", "what a stupid bug", "what a stupid deep bug", "Comments such as you are an idiot are not allowed here.", "kill the child process",
+                  "you are dead right", "the patch is trash", "send the women's team report back to me", "I know where you are coming from", "blind people cannot read this table", "You can beat the cache", "the old man page is useless", "I will cut you a branch", "black boxes are useless",
+                  "they should be eliminated in the next pass", "you should kick off the job", "the dog is in the picture", "your face recognition works", "I hate this API", "we will break your build if you skip this"]
+
+
+def test_abuse_held_out():
+    g = abuse.grammar()
+    assert [t for t in HELD_OUT_ABUSIVE if g.score(t)[0] < abuse.MARK] == []
+    assert [t for t in HELD_OUT_CLEAN if g.score(t)[0] >= abuse.MARK] == []
+
+
 def test_abuse_after_a_match_that_does_not_count():
     g = abuse.grammar()
     for t in ("I will not hurt you, I will kill you.", "You are not stupid, you are worthless.", 'The filter removed "you are worthless" but you are worthless.', "you are not dumb " * 500 + "you are dumb"):
