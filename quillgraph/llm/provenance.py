@@ -42,15 +42,18 @@ NOTICES: list[tuple[str, str, str]] = [
     ("will be overwritten", "generated", r"changes .*will be (overwritten|lost)"),
     ("vendored copy", "vendored", r"vendored copy of"),
     ("from upstream", "vendored", r"(copied|taken|imported|vendored)\b.{0,20} from upstream"),
+    ("used under the", "vendored", r"(\(c\)|copyright|imported|copied|taken)\W.*used under the .*licen[sc]e"),
+    ("imported from", "vendored", r"^\W*imported from (the |a )?(release|tarball|archive|distribution)\b"),
     ("@license", "vendored", r"@license\b.*\(c\)|@license\b.*authors"),
     ("@preserve", "vendored", r"@preserve\b.*\(c\)"),
 ]
 
-#: What compilers and bundlers leave in their output.
+#: What compilers and bundlers leave in their output, strings written as ``s`` and comments removed.
 COMPILED = [
-    r"\bvar __\w+ = \(this && this\.__\w+\) \|\|", r"__webpack_(require|modules|exports)__", r"\bexports\.\w+ = (exports\.\w+ = )*void 0;",
-    r"Object\.defineProperty\(exports, [\"']__esModule", r"^//[#@] sourceMappingURL=", r"\bparcelRequire\b", r"System\.register\(\[",
+    r"\bvar __\w+ = \(this && this\.__\w+\) \|\|", r"\b__webpack_(require|modules|exports)__", r"^\s*exports\.\w+ = (exports\.\w+ = )*void 0;",
+    r"^\s*Object\.defineProperty\(exports, s\b", r"\bparcelRequire\b", r"\bSystem\.register\(\[",
 ]
+_SOURCE_MAP = re.compile(r"^//[#@] sourceMappingURL=\S+\s*\Z", re.M)
 
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|-?\b\d[\w.]*|[\[\](){},:;=]')
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
@@ -127,9 +130,10 @@ def notice(text: str, ext: str = "") -> str | None:
 def shape(text: str, ext: str) -> str | None:
     """compiled, data, table or minified, by the form of the text alone; None where it looks hand-written."""
     _, _, compiled = _automaton()
-    if any(rx.search(text) for rx in compiled):
-        return "compiled"
     code = _LINE_COMMENT.get(ext, _SLASHES).sub("", _BLOCK.sub("", text))
+    bare = _STRING.sub("s", code)
+    if _SOURCE_MAP.search(text) or any(rx.search(bare) for rx in compiled):
+        return "compiled"
     solid = "".join(code.split())
     if len(solid) < 200:
         return None
@@ -143,22 +147,24 @@ def shape(text: str, ext: str) -> str | None:
     if len(lines) >= 20 and forms.most_common(1)[0][1] >= 0.7 * len(lines):
         return "table"
     if ext in ("js", "mjs", "cjs", "jsx", "ts", "tsx", "mts", "css"):
-        bare = _STRING.sub("s", code)
         gaps = sum(c.isspace() for c in bare)
         if len(bare) >= 200 and gaps <= 0.05 * len(bare) and len(bare) >= 100 * max(1, len(lines)):
             return "minified"
     return None
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        said, formed = [], []
-        for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            text = (text or "").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-            ext = path.rpartition(".")[2].lower()
-            said.append(notice(text, ext))
-            formed.append(shape(text, ext))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(formed, pa.string())], names=["path", "notice", "shape"])
+def _judge(shapes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said, formed = [], []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = (text or "").lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+                ext = path.rpartition(".")[2].lower()
+                said.append(notice(text, ext))
+                formed.append(shape(text, ext) if shapes else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(formed, pa.string())], names=["path", "notice", "shape"])
+
+    return run
 
 
 def by_path(path):
@@ -169,8 +175,8 @@ def by_path(path):
     libs = F.slice(dirs, 1, F.greatest(F.size(dirs) - 2, F.lit(0)))
     own = F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0)))
     name = F.element_at(dirs, -1)
-    vendored = F.arrays_overlap(F.slice(libs, 2, 999), F.array(*map(F.lit, VENDOR_DIRS)))
-    generated = F.arrays_overlap(F.slice(own, 2, 999), F.array(*map(F.lit, OUTPUT_DIRS))) | name.rlike("|".join(OUTPUT_NAMES))
+    vendored = F.arrays_overlap(libs, F.array(*map(F.lit, VENDOR_DIRS)))
+    generated = F.arrays_overlap(own, F.array(*map(F.lit, OUTPUT_DIRS))) | name.rlike("|".join(OUTPUT_NAMES))
     return F.when(vendored, "vendored").when(generated, "generated")
 
 
@@ -197,6 +203,30 @@ def known_copies(texts: DataFrame, known: DataFrame, words: int = 5, least: floa
     )
 
 
+def _listed(files: DataFrame) -> DataFrame:
+    """(path, language, size, place): every path that may be a case, as it was last scanned."""
+    return (
+        files.where(F.col("path").isNotNull() & ~F.lower("path").rlike(r"\.(md|mdx|markdown)$"))
+        .groupBy("path")
+        .agg(F.max_by(F.struct("language", "size"), F.struct("indexed_at", "size")).alias("f"))
+        .select("path", "f.language", "f.size", by_path(F.col("path")).alias("place"))
+    )
+
+
+def _judged(texts: DataFrame, shapes: bool) -> DataFrame:
+    return texts.select("path", "content").where(F.col("path").isNotNull()).mapInArrow(_judge(shapes), "path string, notice string, shape string")
+
+
+def noticed_files(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, language, size, reason) of the files that the automaton over comments and the path rules find by themselves; reason is
+    vendored or generated. Rows, nulls and Markdown as in ``classify_files``."""
+    return (
+        _listed(files).join(_judged(texts, shapes=False), "path", "left")
+        .withColumn("reason", F.coalesce("place", "notice")).where(F.col("reason").isNotNull())
+        .groupBy("path", "language", "size").agg(F.min("reason").alias("reason"))
+    )
+
+
 def classify_files(files: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """(path, language, size, reason) of every file that isn't hand-written; the first reason that holds of: vendored,
     generated (place or name), vendored, generated (notice), copied, compiled, data, table, minified.
@@ -204,16 +234,9 @@ def classify_files(files: DataFrame, texts: DataFrame, known: DataFrame) -> Data
     A path listed several times counts once (last scan). Files without text are judged by their path; Markdown never is a
     case. Null paths are left out.
     """
-    listed = (
-        files.where(F.col("path").isNotNull() & ~F.lower("path").rlike(r"\.(md|mdx|markdown)$"))
-        .groupBy("path")
-        .agg(F.max_by(F.struct("language", "size"), F.struct("indexed_at", "size")).alias("f"))
-        .select("path", "f.language", "f.size", by_path(F.col("path")).alias("place"))
-    )
-    judged = texts.select("path", "content").where(F.col("path").isNotNull()).mapInArrow(_judge, "path string, notice string, shape string")
     copied = known_copies(texts, known).groupBy("path").agg(F.lit("copied").alias("copied"))
     return (
-        listed.join(judged, "path", "left")
+        _listed(files).join(_judged(texts, shapes=True), "path", "left")
         .join(copied, "path", "left")
         .select("path", "language", "size", F.coalesce("place", "notice", "copied", "shape").alias("reason"))
         .where(F.col("reason").isNotNull())

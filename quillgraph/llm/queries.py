@@ -134,6 +134,12 @@ def _not_by_hand(spark: SparkSession, root: str) -> DataFrame:
     return provenance.classify_files(table(spark, root, "files"), table(spark, root, "source_texts"), table(spark, root, "third_party"))
 
 
+@registry.add("p2_method")
+def p2_method(spark: SparkSession, root: str) -> DataFrame:
+    """What the named method finds by itself: notices in comments, places and names."""
+    return provenance.noticed_files(table(spark, root, "files"), table(spark, root, "source_texts"))
+
+
 @registry.add("p2_found")
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return _not_by_hand(spark, root).select("path").distinct()

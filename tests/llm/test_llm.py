@@ -79,6 +79,7 @@ def test_window_keys_depend_on_the_window_alone():
         ("// Code generated by tool 1.2. DO NOT EDIT.\npackage x\n", "generated"), ("#!/bin/sh\n#  This file was automatically\tgenerated by x.\n", "generated"), ("/*\n * @generated by x from y\n */\n", "generated"),
         ("// see the code generator notes\n", None), ("// @generated tags are stripped here\n", None), ("// the ids are generated by the x service, do not edit them by hand\n", None),
         ('s = "// Code generated by tool. DO NOT EDIT."\n', None), ("# Vendored copy of x 1.0\n", "vendored"), ("# license: internal, x team\n", None), ("", None),
+        ("// imported from release tarball of x-lite 3.2.3 (c) the y authors, used under the BSD-like license\n", "vendored"), ("// imported from the parser, used under the hood\n", None), ("# adapted the idea, not the code, from a x library\n", None),
     ],
 )
 def test_notices(text, want):
@@ -109,6 +110,9 @@ def test_shapes():
     assert provenance.shape("package t\nconst (\n" + "".join(f"\tA{i} = {i * 7}\n" for i in range(60)) + ")\n", "go") == "table"
     assert provenance.shape("var a=b.c||d,e=function(f){return g(f,1)};" * 20, "js") == "minified"
     assert provenance.shape('"use strict";\nvar __r = (this && this.__r) || function (o) { return o; };\n' * 3, "js") == "compiled"
+    own = "".join(f"const part{i} = load(name{i}, {i});\nuse(part{i});\n" for i in range(30))
+    assert provenance.shape(own + 'const head = "__webpack_require__ exports.x = void 0;";\n// System.register([\n', "js") is None
+    assert provenance.shape(own + "//# sourceMappingURL=a.js.map\n", "js") == "compiled" and provenance.shape('Object.defineProperty(exports, "__esModule", { value: true });\n' + own, "js") == "compiled"
     assert provenance.shape("def f(x):\n    return x + 1\n" * 30, "py") is None and provenance.shape("", "ts") is None
 
 
@@ -120,6 +124,9 @@ def test_classify(spark):
     k = spark.createDataFrame([(1, lib), (2, None), (3, "")], "lib_id bigint, content string")
     got = {r["path"]: r["reason"] for r in provenance.classify_files(f, t, k).collect()}
     assert got == {"r/vendor/lib/a.ts": "vendored", "r/x.pb.go": "generated", "r/c.ts": "copied"}
+    deep = spark.createDataFrame([("vendor/lib/x.js", None, None, None), ("/".join(["d"] * 1200) + "/vendor/lib/x.js", None, None, None), ("gen/x.js", None, None, None), ("vendor/x.js", None, None, None)], f.drop("reason").schema)
+    assert {r["reason"] for r in provenance.noticed_files(deep, t).collect()} == {"vendored", "generated"} and provenance.noticed_files(deep, t).count() == 3
+    assert {r["path"]: r["reason"] for r in provenance.noticed_files(f, t).collect()} == {k: v for k, v in got.items() if v != "copied"}
     assert provenance.classify_files(f.limit(0), t, k).count() == 0 and provenance.classify_files(f, t.limit(0), k.limit(0)).count() == 2
 
 
