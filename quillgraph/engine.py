@@ -17,14 +17,13 @@ from .sources import scan
 from .sources.state import Store
 from .streaming import changelog
 
-RESOLVED = ("calls", "handles", "extends", "implements")
-
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, **overrides):
         self.spark, self.cfg = spark, config.resolve(root, **overrides)
         self.store = Store(spark, self.cfg.state)
         self.provider = providers.choose(self.cfg.embeddings, self.cfg.embedding_dim)
+        self._ranked, self.affected = time.time(), 0
 
     # indexing ------------------------------------------------------------------------------------------------------
 
@@ -41,21 +40,37 @@ class Engine:
         self.store.set_meta(lastIndex=datetime.now(timezone.utc).isoformat(), merkleRoot=changes.merkle_root(new), embedSignature=self.provider.signature)
         return stats | {"duration_s": round(time.time() - began, 3), "root": self.cfg.root}
 
-    def _apply(self, texts: DataFrame, touched: DataFrame, files: DataFrame) -> int:
-        """Replace the graph of ``touched`` (path) by that of ``texts`` (path, text); returns how many nodes were embedded."""
+    def _apply(self, texts: DataFrame, touched: DataFrame, files: DataFrame, rank: bool = True) -> int:
+        """Replace the graph of ``touched`` (path) by that of ``texts`` (path, text); returns how many nodes were embedded.
+
+        Only the touched files are parsed, and only files that they affect are resolved anew. Without ``rank`` the ranks are left as
+        they are and marked as outdated; the next question that needs them computes them.
+        """
         store = self.store
-        parsed = {k: materialise(v) for k, v in extract.parse_files(texts).items()}
-        nodes = tables.replace_files(store.read("nodes"), parsed["nodes"], touched)
-        sites = tables.replace_files(store.read("call_sites"), parsed["call_sites"], touched)
-        edges = tables.replace_files(store.read("edges").where(~F.col("kind").isin(*RESOLVED, "documents")), parsed["edges"], touched)
-        nodes, sites = materialise(nodes), materialise(sites)
+        touched = materialise(touched.distinct())
+        before = extract.with_parent(store.read("nodes"))
+        parsed = extract.parse_files(texts)
+        nodes = materialise(tables.replace_files(store.read("nodes"), parsed["nodes"], touched))
+        sites = materialise(tables.replace_files(store.read("call_sites"), parsed["call_sites"], touched))
         known = extract.with_parent(nodes)
+        affected = materialise(resolve.affected_files(touched, before, known, sites))
+        self.affected = affected.count()
+        edges = tables.replace_files(store.read("edges").where("kind <> 'documents'"), parsed["edges"], touched)
+        edges = resolve.resolve_incremental(edges, affected, known, sites, files)
         assets = nodes.where("kind = 'asset' AND snippet IS NOT NULL").select("id", "file_path", F.col("snippet").alias("text"))
-        edges = materialise(edges.unionByName(resolve.link_assets(assets, nodes)).unionByName(resolve.resolve_all(sites, known, files).select(*edges.columns)))
+        edges = materialise(edges.unionByName(resolve.link_assets(assets, nodes)))
         vectors, embedded = self._embed(nodes)
-        store.write(nodes=nodes, call_sites=sites, edges=edges, files=files, embeddings=vectors, ranks=graph.pagerank(known, edges))
+        store.write(nodes=nodes, call_sites=sites, edges=edges, files=files, embeddings=vectors)
+        store.set_meta(ranksOutdated=True)
+        if rank:
+            self._rank()
         return embedded
 
+    def _rank(self) -> None:
+        self.store.write(ranks=graph.pagerank(self.nodes(), self.edges()))
+        self.store.set_meta(ranksOutdated=False)
+        self._ranked = time.time()
+
     def _embed(self, nodes: DataFrame) -> tuple[DataFrame, int]:
         """Vectors by node and text: a node whose text changed, or whose vector another provider made, is embedded again."""
         text = embedding_text(F.col("name"), F.col("signature"), F.col("snippet"))
@@ -66,8 +81,11 @@ class Engine:
         fresh = materialise(fresh)
         return have.select(*fresh.columns).unionByName(fresh), fresh.count()
 
-    def follow(self, log_folder: str, on_batch=None, trigger: dict | None = None):
-        """Apply a change log as a stream; see ``streaming.changelog``. Oversized contents are passed over."""
+    def follow(self, log_folder: str, on_batch=None, trigger: dict | None = None, rank_every: float = 1.5):
+        """Apply a change log as a stream; see ``streaming.changelog``. Oversized contents are passed over.
+
+        Ranks are global, so they are computed at most once in ``rank_every`` seconds, and else when they are asked for.
+        """
 
         def apply(upserts: DataFrame, removes: DataFrame) -> None:
             small = upserts.where(F.octet_length("content") <= self.cfg.max_file_bytes)
@@ -79,7 +97,7 @@ class Engine:
             if touched.isEmpty():
                 return
             files = materialise(before.join(touched, "path", "left_anti").unionByName(new.select(*before.columns)))
-            self._apply(small.join(touched, "path", "left_semi").select("path", F.col("content").alias("text")), touched, files)
+            self._apply(small.join(touched, "path", "left_semi").select("path", F.col("content").alias("text")), touched, files, rank=time.time() - self._ranked >= rank_every)
 
         return changelog.apply_log(changelog.read_log(self.spark, log_folder), apply, f"{self.cfg.state}/stream", on_batch, trigger)
 
@@ -92,6 +110,9 @@ class Engine:
         return self.store.read("edges")
 
     def ranks(self) -> DataFrame:
+        """The ranks of the nodes there are, computed now if the graph has changed since."""
+        if self.store.meta().get("ranksOutdated"):
+            self._rank()
         return self.store.read("ranks").join(self.store.read("nodes").select(F.col("id").alias("node_id")), "node_id", "left_semi")
 
     def find(self, query: str, limit: int = 12) -> DataFrame:

@@ -1,38 +1,55 @@
-"""Symbols, imports, call sites, routes and assets out of source texts.
+"""Symbols, imports, call sites, routes and assets out of source texts, as relations.
 
-Python is read through its own syntax tree, the brace languages by a scanner over the text with strings and comments blanked
-out, other languages by line patterns. The three share one output, so what follows doesn't know which was used.
+Texts are parsed in Arrow batches by ``operators.reader``; routes and assets are expressions of the JVM.
 """
 
 from __future__ import annotations
 
-import ast
-import bisect
-import hashlib
-import json
-import re
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import node_id
+from ..session import materialise
 from ..sources.scan import TEXT_ASSETS, asset_kind, detect_language, extension, is_asset
-
-SNIPPET_LINES = 60
+from .reader import parse_text
 
 # routes, in the JVM ------------------------------------------------------------------------------------------------------
 
-#: An object's method with a path, a decorator with a path, an annotation with a path.
+#: The objects whose methods declare routes, those methods, the methods of decorators, the words of annotations.
+ROUTE_OBJECTS = "app router api server route"
+ROUTE_METHODS = "get post put patch delete options head all"
+DECORATOR_METHODS = "get post put patch delete route"
+ANNOTATIONS = "Get Post Put Patch Delete Request"
+#: The words before the name of a handler on a following line.
+HANDLER_WORDS = "def function fn"
+
+
+def _any(words: str) -> str:
+    return words.replace(" ", "|")
+
+
+def _quoted(quotes: str) -> str:
+    return f"[{quotes}]([^{quotes}]+)[{quotes}]"
+
+
+#: An object's method with a path, a decorator with a path, an annotation with a path; method and path are the groups.
 ROUTE_PATTERNS = (
-    r"\b(?:app|router|api|server|router?)\.(get|post|put|patch|delete|options|head|all)\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"@\w+\.(get|post|put|patch|delete|route)\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(\s*(?:value\s*=\s*)?['\"]([^'\"]+)['\"]",
+    rf"\b(?:{_any(ROUTE_OBJECTS)})\.({_any(ROUTE_METHODS)})\s*\(\s*" + _quoted("'\"`"),
+    rf"@\w+\.({_any(DECORATOR_METHODS)})\s*\(\s*" + _quoted("'\"`"),
+    rf"@({_any(ANNOTATIONS)})Mapping\s*\(\s*(?:value\s*=\s*)?" + _quoted("'\""),
 )
-_INLINE = r",\s*([A-Za-z_$][\w$.]*)\s*\)?\s*;?\s*$"
-_BELOW = r"(?:def|function|async def|fn)\s+([A-Za-z_$][\w$]*)"
+
+
+def _handler(line, below: list):
+    """The last name of the line's last argument, else the first function declared on the lines below."""
+    argument = F.regexp_extract(F.rtrim(line), r",\s*([^\s,()]+)\s*\)?\s*;?$", 1)
+    last = F.substring_index(argument, ".", -1)
+    named = F.when(argument.rlike(r"^[\p{Alpha}_$][\w$.]*$") & (last != ""), last)
+    declared = [F.nullif(F.regexp_extract(b, rf"(?:{_any(HANDLER_WORDS)})\s+([\p{{Alpha}}_$][\w$]*)", 1), F.lit("")) for b in below]
+    return F.coalesce(named, *declared)
 
 
 def route_lines(texts: DataFrame) -> DataFrame:
@@ -47,8 +64,7 @@ def route_lines(texts: DataFrame) -> DataFrame:
     # only files that hold a route at all go into the window
     with_routes = texts.where(F.col("text").rlike(some)).select("path")
     near = lines.join(with_routes, "path", "left_semi").select("path", "pos", "text", *[b.alias(f"b{i}") for i, b in enumerate(below)])
-    name = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    handler = F.coalesce(F.substring_index(name(F.col("text"), _INLINE), ".", -1), *[name(F.col(f"b{i}"), _BELOW) for i in range(3)])
+    handler = _handler(F.col("text"), [F.col(f"b{i}") for i in range(3)])
     found = F.array(*[F.struct(F.upper(F.regexp_extract("text", p, 1)).alias("method"), F.regexp_extract("text", p, 2).alias("route")) for p in ROUTE_PATTERNS])
     hits = near.where(F.col("text").rlike(some)).select("path", (F.col("pos") + 1).alias("line"), handler.alias("handler"), F.substring(F.trim("text"), 1, 200).alias("signature"), F.inline(found))
     return hits.where("method <> ''").select("path", "line", F.concat_ws(" ", "method", "route").alias("name"), "method", "route", "handler", "signature")
@@ -75,337 +91,6 @@ def asset_nodes(texts: DataFrame) -> DataFrame:
     )
 
 
-# symbols -----------------------------------------------------------------------------------------------------------------
-
-
-def _sha(*parts) -> str:
-    return hashlib.sha1(("".join(map(str, parts)) + "\0").encode("utf-8", "surrogatepass")).hexdigest()[:20]
-
-
-class Parsed:
-    """The nodes, edges and call sites of one file."""
-
-    def __init__(self, path: str, language: str, text: str):
-        self.path, self.language = path, language
-        self.lines = re.split(r"\r?\n", text)
-        self.nodes: list[tuple] = []
-        self.edges: list[tuple] = []
-        self.sites: list[tuple] = []
-        self.file_id = _sha(path, "file", path, 0)
-        self.nodes.append((self.file_id, "file", path, path, language, 1, len(self.lines), None, None, None))
-
-    def symbol(self, kind: str, name: str, start: int, end: int, parent: str | None = None, supers: list[str] | None = None, imported: bool = False) -> str:
-        qualified = f"{parent}.{name}" if parent else name
-        nid = _sha(self.path, kind, qualified, start)
-        body = self.lines[start - 1 : end]
-        snippet = None
-        if not imported:
-            cut = body[:SNIPPET_LINES] + (["// … truncated …"] if len(body) > SNIPPET_LINES else [])
-            snippet = "\n".join(cut)
-        meta = {k: v for k, v in (("parent", parent), ("supers", supers)) if v}
-        self.nodes.append((nid, kind, name, self.path, self.language, start, end, self.lines[start - 1].strip()[:200], snippet, json.dumps(meta) if meta else None))
-        rel = "imports" if imported else "contains"
-        self.edges.append((_sha(rel, self.file_id, nid), rel, self.file_id, nid, 1.0, self.path))
-        return nid
-
-    def call(self, caller: str, callee: str, receiver: str | None, line: int) -> None:
-        self.sites.append((self.path, caller, callee, receiver, line))
-
-
-def parse_python(p: Parsed, text: str) -> bool:
-    """Through the syntax tree; False if the text has none."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-
-    def dotted(e: ast.expr) -> str | None:
-        try:
-            return ast.unparse(e)
-        except RecursionError:
-            return None
-
-    stack: list[tuple[ast.AST, str | None, str | None]] = [(tree, None, None)]
-    while stack:
-        node, cls, func = stack.pop()
-        inner_cls, inner_func = cls, func
-        if isinstance(node, ast.ClassDef):
-            supers = [s for b in node.bases if (s := dotted(b))]
-            p.symbol("class", node.name, node.lineno, node.end_lineno, cls, [s.rpartition(".")[2] for s in supers])
-            inner_cls = node.name
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            inner_func = p.symbol("method" if cls else "function", node.name, node.lineno, node.end_lineno, cls)
-        elif isinstance(node, ast.Import):
-            for a in node.names:
-                p.symbol("import", a.name, node.lineno, node.end_lineno, imported=True)
-        elif isinstance(node, ast.ImportFrom):
-            p.symbol("import", "." * node.level + (node.module or ""), node.lineno, node.end_lineno, imported=True)
-        elif isinstance(node, ast.Call) and func:
-            f = node.func
-            if isinstance(f, ast.Name):
-                p.call(func, f.id, None, node.lineno)
-            elif isinstance(f, ast.Attribute):
-                p.call(func, f.attr, dotted(f.value), node.lineno)
-        stack += [(c, inner_cls, inner_func) for c in reversed(list(ast.iter_child_nodes(node)))]
-    return True
-
-
-_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
-_RUST_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]+?)'", re.S)
-_ID = r"[A-Za-z_$][\w$]*"
-
-#: Words before a bracket that call nothing.
-NOT_CALLS = set(
-    "if for while switch catch return function class new typeof await yield super this def elif with print require import export const let var fn func match loop "
-    "else do try throw case select go defer range struct enum trait impl use mod pub unsafe where in of instanceof sizeof assert synchronized void delete".split()
-)
-
-_TYPES = {
-    "typescript": rf"\b(class|interface|enum)\s+({_ID})|\b(type)\s+({_ID})\s*(?:<[^=]*>)?\s*=",
-    "javascript": rf"\b(class)\s+({_ID})",
-    "java": rf"(?<![.\w])(class|interface|enum|record)\s+({_ID})",
-    "go": rf"\btype\s+({_ID})(?:\[[^\]]*\])?\s+(struct|interface)\b",
-    "rust": rf"\b(struct|enum|trait|union)\s+({_ID})|\b(impl)\b(?:\s*<[^{{;]*?>)?\s+(?:[^{{;]*?\bfor\s+)?(?:\w+::)*({_ID})",
-}
-_FUNCS = {
-    "typescript": [rf"\bfunction\s*\*?\s*({_ID})\s*(?:<[^(]*>)?\(", rf"\b(?:const|let|var)\s+({_ID})\s*(?::[^=;]+)?=\s*(?:async\s+)?(?:function\b|(?:<[^(]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=;{{]+)?=>|{_ID}\s*=>)"],
-    "go": [rf"\bfunc\s*(?:\(\s*(?:\w+\s+)?\*?\s*(\w+)[^)]*\)\s*)?({_ID})\s*(?:\[[^\]]*\])?\("],
-    "rust": [rf"\bfn\s+({_ID})\s*(?:<[^(]*>)?\("],
-    "java": [],
-}
-_FUNCS["javascript"] = _FUNCS["typescript"]
-_MEMBER = re.compile(rf"(?:(?<=[;{{}}\n])|(?<=^))[ \t]*(?:(?:@[\w.]+(?:\([^)]*\))?|public|private|protected|static|async|get|set|readonly|override|abstract|final|synchronized|default|native)\s+|\*\s*)*((?:{_ID}(?:<[^;(){{}}=]*>)?(?:\[\])*\s+)?)(#?{_ID})\s*(?:<[^(;]*>)?\(")
-_CALL = re.compile(rf"((?:{_ID}\s*(?:\.|\?\.|::)\s*)*)({_ID})\s*\(")
-_SUPERS = re.compile(r"\b(extends|implements|permits)\b")
-
-
-def _matching(blank: str) -> dict[int, int]:
-    """The closing place of every opening bracket of each sort."""
-    out, stacks = {}, {")": [], "]": [], "}": []}
-    pair = {"(": ")", "[": "]", "{": "}"}
-    for m in re.finditer(r"[()\[\]{}]", blank):
-        c = m.group()
-        if c in pair:
-            stacks[pair[c]].append(m.start())
-        elif stacks[c]:
-            out[stacks[c].pop()] = m.start()
-    return out
-
-
-def parse_braces(p: Parsed, text: str) -> None:
-    lang = p.language
-    rx = _RUST_BLANK if lang == "rust" else _BLANK
-    blank = rx.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    ends = _matching(blank)
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
-    line = lambda at: bisect.bisect_right(starts, at)
-
-    def body(after: int) -> tuple[int, int] | None:
-        """The block that begins behind ``after``, before any semicolon."""
-        m = re.compile(r"[{;]").search(blank, after)
-        return (m.start(), ends.get(m.start(), len(blank))) if m and m.group() == "{" else None
-
-    types, funcs = [], []
-    for m in re.finditer(_TYPES[lang], blank):
-        g = m.groups()
-        word, name = (g[1], g[0]) if lang == "go" else (g[0] or g[2], g[1] or g[3]) if len(g) > 2 else g
-        span = body(m.end())
-        if lang == "go":
-            span = body(m.end() - 1)
-        if word == "type":
-            span = None
-        end = span[1] if span else m.end()
-        head = blank[m.end() : span[0]] if span else ""
-        supers = [re.sub(r"<.*", "", s, flags=re.S).strip() for part in _SUPERS.split(head)[1:] if part not in ("extends", "implements", "permits") for s in re.split(r",(?![^<]*>)", part)]
-        supers = [s.rpartition(".")[2] for s in supers if re.fullmatch(rf"(?:{_ID}\.)*{_ID}", s)]
-        kind = "interface" if word in ("interface", "trait") else "class"
-        types.append((m.start(), end, name, kind, span, supers))
-    for pattern in _FUNCS[lang]:
-        for m in re.finditer(pattern, blank):
-            name, owner = (m.group(2), m.group(1)) if lang == "go" else (m.group(1), None)
-            if blank[m.end() - 1] == "(":
-                close = ends.get(m.end() - 1)
-                span = body(close) if close else None
-                if not span:
-                    continue
-                end = span[1]
-            else:
-                # an arrow or function expression: its block, or the line it stands on
-                tail = re.compile(r"[^\n{;]*").match(blank, m.end()).end()
-                span = body(m.end()) if tail < len(blank) and blank[tail] == "{" else None
-                end = span[1] if span else tail
-            funcs.append((m.start(), end, name, owner))
-    if lang in ("typescript", "javascript", "java"):
-        blocks = {t[4] for t in types if t[4]}
-        for lo, hi in sorted(blocks):
-            at = lo + 1
-            while (m := _MEMBER.search(blank, at, hi)) is not None:
-                # stay in the type's own block
-                jump = re.compile(r"\{").search(blank, at, m.start(2))
-                if jump and jump.start() in ends and ends[jump.start()] > m.start(2):
-                    at = ends[jump.start()]
-                    continue
-                name, close = m.group(2), ends.get(m.end() - 1)
-                span = body(close) if close else None
-                plain = close is not None and span and re.fullmatch(r"\s*(?::[^{;]*|throws[^{;]*)?", blank[close + 1 : span[0]])
-                if name in NOT_CALLS or not plain or m.group(1).strip() in ("new", "return", "throw", "else"):
-                    at = m.end()
-                    continue
-                funcs.append((m.start() + len(m.group()) - len(m.group().lstrip()), span[1], name, None))
-                at = span[1]
-    if lang in ("typescript", "javascript", "rust", "go", "java"):
-        patterns = {
-            "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", "rust": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "go": r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"\n]+)\"",
-        }
-        rx_import = patterns.get(lang, r"(?m)^\s*(?:import|export)\b[^'\"\n;]*?(?:from\s*)?['\"]([^'\"\n]+)['\"]|\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)")
-        region = text
-        if lang == "go":
-            region = "".join(text[m.start() : m.end()] if keep else re.sub(r"[^\n]", " ", text[m.start() : m.end()]) for m, keep in _go_imports(text))
-        for m in re.finditer(rx_import, region):
-            at = next(i for i in range(1, len(m.groups()) + 1) if m.group(i))
-            n = line(m.start(at))
-            p.symbol("import", m.group(at), n, n, imported=True)
-    order = sorted([(s, e, n, k, sup, None) for s, e, n, k, _, sup in types] + [(s, e, n, "func", None, owner) for s, e, n, owner in funcs], key=lambda x: (x[0], -x[1]))
-    open_types: list[tuple[int, str]] = []
-    bodies: list[tuple[int, int, str]] = []
-    seen: set[tuple[int, str]] = set()
-    for start, end, name, kind, supers, owner in order:
-        while open_types and start >= open_types[-1][0]:
-            open_types.pop()
-        parent = owner or (open_types[-1][1] if open_types else None)
-        if (start, name) in seen:
-            continue
-        seen.add((start, name))
-        first, last = line(start + len(blank[start:]) - len(blank[start:].lstrip())), line(end)
-        if kind == "func":
-            nid = p.symbol("method" if parent else "function", name, first, last, parent)
-            bodies.append((start, end, nid))
-        else:
-            p.symbol(kind, name, first, last, parent, supers)
-            open_types.append((end, name))
-    declared = {blank.find("(", f[0]) for f in funcs}
-    for m in _CALL.finditer(blank):
-        name = m.group(2)
-        if name in NOT_CALLS or m.end() - 1 in declared:
-            continue
-        before = blank[max(0, m.start() - 12) : m.start()]
-        if re.search(r"\b(?:function|fn|func|class|interface)\s*\*?\s*$", before):
-            continue
-        inside = [b for b in bodies if b[0] <= m.start() < b[1]]
-        if inside:
-            recv = re.sub(r"\s+", "", m.group(1)).rstrip(".:?")
-            p.call(max(inside)[2], name, recv or None, line(m.start(2)))
-
-
-def _go_imports(text: str):
-    """The text in pieces, those within import clauses marked."""
-    at = 0
-    for m in re.finditer(r"(?m)^import\s*(?:\([^)]*\)|[^\n]*)", text):
-        if m.start() > at:
-            yield _Piece(at, m.start()), False
-        yield _Piece(m.start(), m.end()), True
-        at = m.end()
-    if at < len(text):
-        yield _Piece(at, len(text)), False
-
-
-class _Piece:
-    def __init__(self, a: int, b: int):
-        self.a, self.b = a, b
-
-    def start(self) -> int:
-        return self.a
-
-    def end(self) -> int:
-        return self.b
-
-
-_LINE_CLASS = re.compile(r"^\s*(?:export\s+|public\s+|private\s+|internal\s+|abstract\s+|final\s+|sealed\s+|data\s+)*(class|interface|struct|trait|enum|module)\s+([A-Za-z_]\w*)")
-_PY_CLASS = re.compile(r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\))?\s*:")
-
-#: Line patterns of functions, by language, so that a call at a line's end is no definition in another language.
-_LINE_FUNCS = {
-    "python": r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*[(:]", "ruby": r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", "php": r"\bfunction\s+&?([A-Za-z_]\w*)\s*\(",
-    "kotlin": r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?([A-Za-z_]\w*)\s*\(", "swift": r"\bfunc\s+([A-Za-z_]\w*)\s*[(<]", "scala": r"\bdef\s+([A-Za-z_]\w*)", "lua": r"\bfunction\s+(?:\w+[.:])?([A-Za-z_]\w*)\s*\(",
-    "shell": r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)\s*\{", "r": r"^\s*([A-Za-z_.][\w.]*)\s*(?:<-|=)\s*function\s*\(",
-}
-_C_FUNC = r"^[ \t]*(?:[\w<>\[\]*&:,~]+[ \t]+)+[*&]*([A-Za-z_~]\w*)\s*\([^;]*\)\s*(?:const\s*)?(?:\{|$)"
-_LINE_IMPORT = re.compile(r"^\s*(?:import|require|require_relative|include|from|use|using|#include)\b\s*\(?\s*(?:static\s+)?[\"'<]?([\w./:\\-]+)")
-
-
-def block_end(lines: list[str], start: int, by_indent: bool) -> int:
-    """The last line (from 0) of the block that begins on ``start``: the lines more indented, or up to the closing brace; a definition
-    that ends on its own line without brace is that line, one that never opens a brace the next forty."""
-    width = lambda s: len(s[: len(s) - len(s.lstrip())].replace("\t", "  "))
-    if by_indent:
-        base, last = width(lines[start]), start
-        for i in range(start + 1, len(lines)):
-            if lines[i].strip():
-                if width(lines[i]) <= base:
-                    break
-                last = i
-        return last
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        for c in lines[i]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-                if opened and depth <= 0:
-                    return i
-        if not opened and "=>" in lines[i] and lines[i].rstrip().endswith(";"):
-            return i
-    return len(lines) - 1 if opened else min(start + 40, len(lines) - 1)
-
-
-def parse_lines(p: Parsed, text: str) -> None:
-    """By line patterns, for texts no reader understands."""
-    by_indent = p.language in ("python", "ruby", "unknown")
-    func = re.compile(_LINE_FUNCS.get(p.language, _C_FUNC))
-    open_types: list[tuple[int, str]] = []
-    funcs = []
-    for i, line in enumerate(p.lines):
-        while open_types and i > open_types[-1][0]:
-            open_types.pop()
-        parent = open_types[-1][1] if open_types else None
-        py, gen = (_PY_CLASS.match(line) if by_indent else None), _LINE_CLASS.match(line)
-        if py or gen:
-            name = py.group(1) if py else gen.group(2)
-            supers = [s.strip() for s in (py.group(2) or "").split(",") if s.strip()] if py else re.findall(rf"(?:extends|implements|:)\s+({_ID})", line)
-            end = block_end(p.lines, i, by_indent)
-            p.symbol("interface" if gen and gen.group(1) in ("interface", "trait") else "class", name, i + 1, end + 1, parent, supers)
-            open_types.append((end, name))
-            continue
-        m = func.search(line)
-        if m and m.group(1) not in NOT_CALLS:
-            end = block_end(p.lines, i, by_indent)
-            funcs.append((i, end, m.group(1), p.symbol("method" if parent else "function", m.group(1), i + 1, end + 1, parent)))
-            continue
-        m = _LINE_IMPORT.match(line)
-        if m:
-            p.symbol("import", m.group(1), i + 1, i + 1, imported=True)
-    for start, end, name, nid in funcs:
-        calls = {(m.group(1).rstrip(".:?") or None, m.group(2)) for m in _CALL.finditer("\n".join(p.lines[start : end + 1])) if m.group(2) != name and m.group(2) not in NOT_CALLS}
-        for recv, callee in sorted(calls, key=lambda c: (c[1], c[0] or "")):
-            p.call(nid, callee, recv, start + 1)
-
-
-def parse_text(path: str, language: str, text: str) -> Parsed:
-    """The strategy by language: the syntax tree, the scanner, else line patterns."""
-    p = Parsed(path, language, text)
-    if language == "python":
-        if not parse_python(p, text):
-            parse_lines(p, text)
-    elif language in _TYPES:
-        parse_braces(p, text)
-    else:
-        parse_lines(p, text)
-    return p
-
-
 _NODE = "id:string,kind:string,name:string,file_path:string,language:string,start_line:int,end_line:int,signature:string,snippet:string,meta:string"
 _EDGE = "id:string,kind:string,from_id:string,to_id:string,confidence:double,file_path:string"
 _SITE = "file_path:string,caller_id:string,callee_name:string,receiver:string,line:int"
@@ -430,12 +115,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parse_files(texts: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges and call_sites of ``texts`` (path, text): assets as name-only nodes, code by its reader, routes by line. Null
-    paths are left out, a null text is an empty one, ids that occur twice are kept once. Rows are spread before parsing."""
+    paths are left out, a null text is an empty one, ids that occur twice are kept once.
+
+    Every file is parsed once, into a stage that the three relations read. Rows are spread over the tasks first, since a few
+    splits may hold most of the code, and a text is some hundred times dearer to parse than to move.
+    """
     known = texts.where(F.col("path").isNotNull()).select("path", F.coalesce("text", F.lit("")).alias("text"))
     code = known.where(~is_asset(F.col("path")))
-    parsed = code.select("path", detect_language(F.col("path")).alias("language"), "text").mapInArrow(
-        _parse, f"path string, nodes array<struct<{_NODE}>>, edges array<struct<{_EDGE}>>, call_sites array<struct<{_SITE}>>"
-    )
+    spread = code.select("path", detect_language(F.col("path")).alias("language"), "text").repartition("path")
+    parsed = materialise(spread.mapInArrow(_parse, f"path string, nodes array<struct<{_NODE}>>, edges array<struct<{_EDGE}>>, call_sites array<struct<{_SITE}>>"))
     routes = route_nodes(code)
     nodes = parsed.select(F.inline("nodes")).unionByName(routes).unionByName(asset_nodes(known)).dropDuplicates(["id"])
     held = routes.select(node_id(F.col("file_path"), F.lit("file"), F.col("file_path"), F.lit(0)).alias("from_id"), F.col("id").alias("to_id"), "file_path")
@@ -446,9 +134,3 @@ def parse_files(texts: DataFrame) -> dict[str, DataFrame]:
 
 def with_parent(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("parent", F.get_json_object("meta", "$.parent"))
-
-
-def first_lines(text: Column, n: int = SNIPPET_LINES) -> Column:
-    """The first ``n`` lines, and a marker where more follow."""
-    lines = F.split(text, "\n")
-    return F.array_join(F.when(F.size(lines) > n, F.concat(F.slice(lines, 1, n), F.array(F.lit("// … truncated …")))).otherwise(lines), "\n")

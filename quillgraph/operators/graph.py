@@ -108,11 +108,12 @@ def impact(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 4) -> Dat
     return found
 
 
-def trace_flow(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int = 6) -> list[dict]:
+def trace_flow(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int = 6, most: int = 200_000) -> list[dict]:
     """The steps a call flow takes from the first function, method or route called ``name``, depth first.
 
     Joins bring together what lies within reach; the walk itself, whose order is the result, runs on the driver over that
-    remainder. Every edge is a step, a node is expanded once, and a node first met below ``max_depth`` isn't.
+    remainder, refused where it has more than ``most`` edges. Every edge is a step, a node is expanded once, and a node first
+    met below ``max_depth`` isn't.
     """
     start = nodes.where((F.col("name") == name) & F.col("kind").isin("function", "method", "route")).orderBy("file_path", "start_line", "id").head()
     if start is None:
@@ -122,7 +123,10 @@ def trace_flow(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int = 6
     _, reach = neighborhood(nodes, flow, seed, depth=max_depth + 1, direction="out")
     steps: dict[str, list] = {}
     named = reach.join(nodes.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"), order_key().alias("ord")), "to_id")
-    for r in named.collect():
+    rows = named.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} edges within {max_depth} steps of {name}: ask for a smaller depth")
+    for r in rows:
         steps.setdefault(r["from_id"], []).append(r)
     for rows in steps.values():
         rows.sort(key=lambda r: (-r["confidence"], tuple(r["ord"])))

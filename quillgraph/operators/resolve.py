@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.ids import documents_edge_id, edge_id
+from .skew import salted_left_join
 from .tables import META, order_key
 
 #: What an import specifier may leave out, in the order tried.
@@ -51,21 +52,27 @@ def resolve_imports(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("file_path", "spec").agg(F.min(F.struct("nth", "path"))["path"].alias("target"))
 
 
-def _firsts(cols: Column) -> Column:
-    """Up to three ids in order, from a collected set of order keys; the groups are cut where they are used."""
-    return F.transform(F.slice(F.array_sort(cols), 1, 3), lambda s: s["id"])
+def _in_files(funcs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, firsts): the number of symbols and the ids of the first three by line and id. The keys name a file among others,
+    so a group is no larger than what one file declares."""
+    firsts = F.transform(F.slice(F.array_sort(F.collect_list(order_key())), 1, 3), lambda s: s["id"])
+    return funcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), firsts.alias("firsts"))
 
 
-def _summary(funcs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, firsts): the number of symbols and the first three, merged pairwise so that no group is held whole."""
-    from pyspark.sql import Window
-
-    ranked = funcs.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("file_path", "start_line", "id")))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _firsts(F.collect_list(F.when(F.col("_r") <= 3, order_key()))).alias("firsts"))
+def _named(funcs: DataFrame) -> DataFrame:
+    """(name, n, first, firsts): the symbols of each name in all files, counted; the first one, and all of them where they are at most
+    three (else null). Names like ``get`` are counted and dropped before anything is brought together."""
+    counted = funcs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(order_key())["id"].alias("first"))
+    rare = counted.where("n <= 3").select("name")
+    listed = funcs.join(rare, "name", "left_semi").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(order_key())), lambda s: s["id"]).alias("firsts"))
+    return counted.join(listed, "name", "left")
 
 
 def receiver_type(text: Column, receiver: Column) -> Column:
-    """The type a receiver has by the caller's text: assigned ``new T``, declared ``T receiver =``, or ``receiver: T``."""
+    """The type a receiver has by the caller's text: assigned ``new T``, declared ``T receiver =``, or ``receiver: T``.
+
+    Fixed values: the three expressions, since what they find decides a tier.
+    """
     name = r"([A-Za-z_$][\w$]*)"
     escaped = F.regexp_replace(receiver, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
@@ -90,7 +97,7 @@ def resolve_calls(sites: DataFrame, nodes: DataFrame, files: DataFrame) -> DataF
     (0.4). Calls of oneself are dropped afterwards; of equal edges the one with the highest confidence stays.
     """
     funcs = nodes.where(F.col("kind").isin("function", "method")).select("id", "name", "file_path", "start_line", "parent")
-    classes = nodes.where(F.col("kind").isin("class", "interface")).select(F.col("name").alias("receiver")).distinct().withColumn("is_type", F.lit(True))
+    classes = nodes.where(F.col("kind").isin("class", "interface")).select(F.col("name").alias("receiver")).distinct()
     qualified = funcs.where("parent IS NOT NULL").groupBy(F.col("parent").alias("cls"), F.col("name").alias("callee")).agg(F.max(order_key())["id"].alias("target"))
     text = F.concat(F.coalesce("signature", F.lit("")), F.lit("\n"), F.coalesce("snippet", F.lit("")))
     callers = nodes.select(F.col("id").alias("caller"), F.col("file_path").alias("caller_file"), F.col("parent").alias("caller_class"), text.alias("text"))
@@ -101,30 +108,38 @@ def resolve_calls(sites: DataFrame, nodes: DataFrame, files: DataFrame) -> DataF
     def by_class(cls: str, alias: str) -> DataFrame:
         return qualified.select(F.col("cls").alias(cls), "callee", F.col("target").alias(alias))
 
-    in_file = _summary(funcs, "file_path", "name")
-    in_class = _summary(funcs, "file_path", "name", "parent").where("n = 1").select("file_path", "name", "parent", F.col("firsts")[0].alias("in_class"))
-    named = _summary(funcs, "name").select(F.col("name").alias("callee"), F.col("n").alias("n_all"), F.col("firsts").alias("f_all"))
+    in_file = _in_files(funcs, "file_path", "name")
+    in_class = funcs.groupBy("file_path", "name", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("in_class")).where("n = 1").drop("n")
+    named = _named(funcs).select(F.col("name").alias("callee"), F.col("n").alias("n_all"), F.col("firsts").alias("f_all"))
     reached = resolve_imports(nodes, files).select("file_path", "target").distinct()
     imported = (
         reached.join(in_file.select(F.col("file_path").alias("target"), F.col("name").alias("callee"), "n", "firsts"), "target")
         .groupBy(F.col("file_path").alias("caller_file"), "callee")
         .agg(F.sum("n").alias("n_imp"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("target", "firsts"))), lambda s: s["firsts"])), 1, 3).alias("f_imp"))
     )
-    wide = (
-        calls.join(named, "callee")
-        .join(classes, "receiver", "left")
-        .join(by_class("caller_class", "t1"), ["caller_class", "callee"], "left")
-        .join(by_class("receiver", "t2"), ["receiver", "callee"], "left")
-        .join(by_class("inferred", "t3"), ["inferred", "callee"], "left")
-        .join(in_file.select(F.col("file_path").alias("caller_file"), F.col("name").alias("callee"), F.col("n").alias("n_file"), F.col("firsts").alias("f_file")), ["caller_file", "callee"], "left")
-        .join(imported, ["caller_file", "callee"], "left")
+    # a callee may be hot, so its join is salted; the joins on a class leave out the calls that have none, which otherwise all
+    # meet under the null key
+    calls = calls.withColumn("site", F.xxhash64("caller", "callee", F.coalesce("receiver", F.lit("\0"))))
+    wide = salted_left_join(calls, named, "callee", salt_by=F.col("site")).where("n_all IS NOT NULL")
+    typed = calls.where("receiver IS NOT NULL").select("receiver").distinct().join(classes, "receiver", "left_semi")
+    t1 = calls.where("receiver IN ('this', 'self') AND caller_class IS NOT NULL").join(by_class("caller_class", "t1"), ["caller_class", "callee"])
+    t2 = calls.join(typed, "receiver", "left_semi").join(by_class("receiver", "t2"), ["receiver", "callee"])
+    t3 = calls.where("inferred IS NOT NULL").join(by_class("inferred", "t3"), ["inferred", "callee"])
+    once = ["caller", "callee", "receiver"]
+    no = F.lit(None).cast("string")
+    by_type = (
+        t1.select(*once, "t1", no.alias("t2"), no.alias("t3"))
+        .unionByName(t2.select(*once, no.alias("t1"), "t2", no.alias("t3")))
+        .unionByName(t3.select(*once, no.alias("t1"), no.alias("t2"), "t3"))
+        .groupBy(*once).agg(*[F.max(t).alias(t) for t in ("t1", "t2", "t3")])
     )
+    here = in_file.select(F.col("file_path").alias("caller_file"), F.col("name").alias("callee"), F.col("n").alias("n_file"), F.col("firsts").alias("f_file"))
+    wide = wide.join(by_type, once, "left").join(here, ["caller_file", "callee"], "left").join(imported, ["caller_file", "callee"], "left")
     inc = in_class.select(F.col("file_path").alias("_f"), F.col("name").alias("_n"), F.col("parent").alias("_p"), "in_class")
     wide = wide.join(inc, (F.col("caller_file") == F.col("_f")) & (F.col("callee") == F.col("_n")) & F.col("caller_class").eqNullSafe(F.col("_p")), "left")
-    own = F.col("receiver").isin("this", "self") & F.col("t1").isNotNull()
     tiers = [
-        ("1", own, F.array("t1"), 1.0),
-        ("2", F.col("is_type") & F.col("t2").isNotNull(), F.array("t2"), 0.95),
+        ("1", F.col("t1").isNotNull(), F.array("t1"), 1.0),
+        ("2", F.col("t2").isNotNull(), F.array("t2"), 0.95),
         ("3", F.col("t3").isNotNull(), F.array("t3"), 0.95),
         ("4a", F.col("n_file") == 1, F.col("f_file"), 0.95),
         ("4b", (F.col("n_file") > 1) & F.col("in_class").isNotNull(), F.array("in_class"), 0.95),
@@ -149,8 +164,8 @@ def resolve_handlers(nodes: DataFrame) -> DataFrame:
     (0.95), the only one at all (0.85), else the first, of the file if it has any (0.5)."""
     wanted = nodes.where("kind = 'route'").select(F.col("id").alias("from_id"), "file_path", F.from_json("meta", META)["handlerName"].alias("name")).where("name IS NOT NULL")
     funcs = nodes.where(F.col("kind").isin("function", "method")).select("id", "name", "file_path", "start_line")
-    here = _summary(funcs, "file_path", "name").select("file_path", "name", F.col("n").alias("n_here"), F.col("firsts")[0].alias("here"))
-    named = _summary(funcs, "name").select("name", F.col("n").alias("n_all"), F.col("firsts")[0].alias("first"))
+    here = funcs.groupBy("file_path", "name").agg(F.count(F.lit(1)).alias("n_here"), F.min(order_key())["id"].alias("here"))
+    named = funcs.groupBy("name").agg(F.count(F.lit(1)).alias("n_all"), F.min(order_key())["id"].alias("first"))
     joined = wanted.join(named, "name").join(here, ["file_path", "name"], "left")
     conf = F.when(F.col("n_here") == 1, 0.95).when(F.col("n_all") == 1, 0.85).otherwise(0.5)
     kind = F.lit("handles")
@@ -171,32 +186,41 @@ def resolve_supers(nodes: DataFrame) -> DataFrame:
     return out.select(edge_id(F.col("kind"), F.col("from_id"), F.col("to_id")).alias("id"), "*").dropDuplicates(["id"])
 
 
-def resolve_all(sites: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
-    return resolve_calls(sites, nodes, files).drop("tier").unionByName(resolve_handlers(nodes)).unionByName(resolve_supers(nodes))
+#: The kinds of edges that resolution makes.
+RESOLVED = ("calls", "handles", "extends", "implements")
+
+
+def resolve_all(sites: DataFrame, nodes: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """All resolved edges, or those of the files of ``only`` (file_path), whose ``sites`` then suffice."""
+    rest = resolve_handlers(nodes).unionByName(resolve_supers(nodes))
+    if only is not None:
+        rest = rest.join(only, "file_path", "left_semi").select(*rest.columns)
+    return resolve_calls(sites, nodes, files).drop("tier").unionByName(rest)
 
 
 def affected_files(changed: DataFrame, before: DataFrame, after: DataFrame, sites: DataFrame) -> DataFrame:
-    """(path): the changed files and those whose calls, handlers or supertypes name a symbol that they had or have, and every
-    importer, since an import may now mean another file."""
-    names = (
-        before.unionByName(after).join(changed.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("name").distinct()
-    )
+    """(path): the changed files, those whose calls, receivers, handlers or supertypes name a symbol that they had or have, and those
+    with an import that may mean one of them."""
+    changed = changed.select("path").distinct()
+    names = before.select("name", "file_path").unionByName(after.select("name", "file_path")).join(changed.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("name").distinct()
     meta = F.from_json("meta", META)
     users = (
-        sites.select(F.col("callee_name").alias("name"), F.col("file_path").alias("path"))
+        sites.select(F.explode(F.array("callee_name", "receiver")).alias("name"), F.col("file_path").alias("path"))
         .unionByName(after.where("kind = 'route'").select(meta["handlerName"].alias("name"), F.col("file_path").alias("path")))
         .unionByName(after.select(F.explode(meta["supers"]).alias("name"), F.col("file_path").alias("path")))
     )
-    importers = after.where("kind = 'import'").select(F.col("file_path").alias("path"))
-    return users.join(names, "name", "left_semi").select("path").union(changed.select("path")).union(importers).distinct()
-
-
-def resolve_incremental(stored: DataFrame, changed: DataFrame, before: DataFrame, after: DataFrame, sites: DataFrame, files: DataFrame) -> DataFrame:
-    """``stored`` with the resolved edges of the affected files computed anew; equal to resolving everything."""
-    hit = affected_files(changed, before, after, sites).withColumnRenamed("path", "file_path")
-    kinds = ["calls", "handles", "extends", "implements"]
-    keep = stored.where(~F.col("kind").isin(*kinds)).unionByName(stored.where(F.col("kind").isin(*kinds)).join(hit, "file_path", "left_anti").select(*stored.columns))
-    fresh = resolve_all(sites.join(hit, "file_path", "left_semi"), after, files).join(hit, "file_path", "left_semi")
+    specs = after.where("kind = 'import'").select("file_path", F.col("name").alias("spec")).distinct()
+    tried = specs.select(F.col("file_path").alias("importer"), F.explode(import_candidates(F.col("file_path"), F.col("spec"))).alias("path"))
+    importers = tried.join(changed, "path", "left_semi").select(F.col("importer").alias("path"))
+    return users.join(names, "name", "left_semi").select("path").union(changed).union(importers).distinct()
+
+
+def resolve_incremental(stored: DataFrame, affected: DataFrame, after: DataFrame, sites: DataFrame, files: DataFrame) -> DataFrame:
+    """``stored`` with the resolved edges of the ``affected`` files (path) computed anew; equal to resolving everything."""
+    hit = affected.withColumnRenamed("path", "file_path")
+    resolved = F.col("kind").isin(*RESOLVED)
+    keep = stored.where(~resolved).unionByName(stored.where(resolved).join(hit, "file_path", "left_anti").select(*stored.columns))
+    fresh = resolve_all(sites.join(hit, "file_path", "left_semi"), after, files, hit)
     return keep.unionByName(fresh.select(*stored.columns))
 
 
