@@ -163,3 +163,16 @@ _STEP4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize ion al
 def stem(term: Column) -> Column:
     """Porter stem; meant for a column of distinct terms."""
     return F.pandas_udf(lambda s: s.map(porter_stem), "string")(term)
+
+
+def stem_all(terms: Column) -> Column:
+    """The Porter stems of a list of terms; each different term of a batch is stemmed once."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        memo: dict[str, str] = {}
+        out = []
+        for terms in lists:
+            out.append([memo[t] if t in memo else memo.setdefault(t, porter_stem(t)) for t in terms])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<string>")(terms)

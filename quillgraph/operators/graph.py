@@ -15,12 +15,18 @@ ENTRY_FILE = r"(^|/)(index|main|app|server|cli|__main__|program)\.[A-Za-z]+$"
 NEVER_DEAD = ("constructor", "__init__", "main")
 
 
+#: Rounds of PageRank between two written stages.
+STRIDE = 5
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 25) -> DataFrame:
     """(node_id, rank): weighted PageRank over symbols and routes, divided by the highest.
 
     A fixed number of rounds from a uniform start; an edge weighs its confidence (0.1 where that isn't positive) over the
-    weights leaving its node; nodes without leaving edges spread their rank evenly. Edge list and out-weights are stored once,
-    and each round aggregates contributions before the shuffle, so a node with many incoming edges is no hot task.
+    weights leaving its node; nodes without leaving edges spread their rank evenly. The links are partitioned once by where they
+    begin and kept so (spilling to disk), the ranks of a round come partitioned the same way out of their aggregation, so a round
+    shuffles contributions alone, added up before they move; a node with many incoming edges is no hot task. Every ``STRIDE``
+    rounds are written as a stage, which cuts the lineage that a lost executor would have to go through again.
     """
     ids = nodes.where(F.col("kind").isin(*RANKED)).select("id").distinct()
     ids = materialise(ids)
@@ -36,15 +42,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     )
     kept = kept.groupBy("from_id", "to_id").agg(F.sum("w").alias("w"))
     out = kept.groupBy("from_id").agg(F.sum("w").alias("out"))
-    links = materialise(kept.join(out, "from_id").select("from_id", "to_id", (F.col("w") / F.col("out")).alias("part")))
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stage = materialise(kept.join(out, "from_id").select("from_id", "to_id", (F.col("w") / F.col("out")).alias("part")))
+    links = stage.repartition(parts, "from_id").persist()
     # Spreading the sinks' rank evenly adds a multiple of the all-ones vector each round, so the rank is a combination of
     # y_k = (damping * links)^k applied to ones. The y_k need no global sum on the way: one join and one aggregation each.
-    sinks = ids.join(links.select(F.col("from_id").alias("id")), "id", "left_anti")
+    sinks = ids.join(stage.select(F.col("from_id").alias("id")), "id", "left_anti")
     y = ids.select("id", F.lit(1.0).alias("y"))
     terms = y.withColumn("k", F.lit(0))
-    for k in range(1, rounds + 1):
-        y = materialise(links.join(y, links["from_id"] == y["id"]).groupBy("to_id").agg((F.sum(F.col("y") * F.col("part")) * damping).alias("y")).withColumnRenamed("to_id", "id"))
-        terms = terms.unionByName(y.withColumn("k", F.lit(k)))
+    k = 0
+    while k < rounds:
+        block, kept_rounds = None, []
+        for k in range(k + 1, min(k + STRIDE, rounds) + 1):
+            y = links.join(y.hint("merge"), links["from_id"] == y["id"]).groupBy("to_id").agg((F.sum(F.col("y") * F.col("part")) * damping).alias("y")).withColumnRenamed("to_id", "id").persist()
+            kept_rounds.append(y)
+            one = y.withColumn("k", F.lit(k))
+            block = one if block is None else block.unionByName(one)
+        block = materialise(block)
+        for done in kept_rounds:
+            done.unpersist()
+        y = block.where(F.col("k") == k).select("id", "y")
+        terms = terms.unionByName(block)
+    links.unpersist()
     held = {r["k"]: r["s"] for r in terms.join(sinks, "id", "left_semi").groupBy("k").agg(F.sum("y").alias("s")).collect()}
     factors = [1.0 / n]
     for _ in range(rounds):
@@ -184,3 +203,17 @@ def export_graph(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, focus: st
         shown.select("id", label.alias("label"), F.col("kind").alias("group"), F.concat("kind", F.lit(" "), label, F.lit("\n"), "file_path", F.lit(":"), "start_line").alias("title")),
         between.select(F.col("from_id").alias("from"), F.col("to_id").alias("to"), F.col("kind").alias("label"), "confidence"),
     )
+
+
+def quality(found: DataFrame, truth: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(language, expected, found, matched, recall, precision, mean_confidence) of resolved edges (from_id, to_id, confidence) against
+    known ones (from_id, to_id), by the language of the node they begin at; a rate over nothing is null."""
+    got, want = F.col("confidence").isNotNull(), F.coalesce("wanted", F.lit(False))
+    both = found.select("from_id", "to_id", "confidence").join(truth.select("from_id", "to_id").withColumn("wanted", F.lit(True)), ["from_id", "to_id"], "full_outer")
+    part = lambda a, b: F.round(F.try_divide(a, b), 6)
+    n, m, k = F.count_if(want), F.count_if(got), F.count_if(want & got)
+    return (
+        both.join(nodes.select(F.col("id").alias("from_id"), "language"), "from_id")
+        .groupBy("language")
+        .agg(n.alias("expected"), m.alias("found"), k.alias("matched"), part(k, n).alias("recall"), part(k, m).alias("precision"), F.round(F.avg(F.when(want & got, F.col("confidence"))), 6).alias("mean_confidence"))
+    )

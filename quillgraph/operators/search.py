@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, query_terms, search_terms, stem, token_estimate
+from ..functions.text import cosine, query_terms, search_terms, stem, stem_all, token_estimate
 from .tables import degrees
 
 K1, B = 1.2, 0.75
@@ -28,19 +28,19 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: str, limit: int, ste
     """(id, score, ref_score): the ``limit`` best documents for any phrase of ``query``, ties by id.
 
     A word of several terms (``a_b``) is a phrase of them in sequence. ``ref_score`` is the constant that a score of
-    1 / (1 + max(0, -score)) comes to. An empty query or no match gives nothing. Only rows with a queried term take part in the
-    shuffle; the collection's size and mean length are one aggregate over all rows.
+    1 / (1 + max(0, -score)) comes to. An empty query or no match gives nothing. Texts are counted where they lie and never
+    shuffled: repeated ids are dropped afterwards, by (id, length, counts). The second pass, for the scores, tokenises only texts
+    that contain a queried term at all.
     """
     phrases = query_terms(query)
-    base = docs.select(F.col(id_col).alias("id"), text.alias("_t")).dropDuplicates(["id"]).select("id", search_terms(F.col("_t")).alias("terms"))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("_t")).select("id", "_t", search_terms(F.col("_t")).alias("terms"))
     if not phrases:
         return base.select("id", F.lit(0.0).alias("score"), F.lit(1.0).alias("ref_score")).limit(0)
     if stemmed:
         from ..functions.text import porter_stem
 
         phrases = [[porter_stem(t) for t in p] for p in phrases]
-        index = postings(docs, id_col, text, stemmed=True)
-        base = index.select("id", "term", F.explode("positions").alias("pos")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]).alias("terms"))
+        base = base.withColumn("terms", stem_all(F.col("terms")))
 
     def count(p: list[str]) -> Column:
         if len(p) == 1:
@@ -49,7 +49,12 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: str, limit: int, ste
         starts = F.sequence(F.lit(1), F.size("terms") - (len(p) - 1))
         return F.when(F.size("terms") >= len(p), F.size(F.filter(starts, lambda i: F.slice("terms", i, len(p)) == words))).otherwise(0)
 
-    counted = base.select("id", F.size("terms").alias("dl"), *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    counts = [F.size("terms").alias("dl"), *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)]]
+    low = F.lower(F.coalesce("_t", F.lit("")))
+    # a stem differs from its words in the last letters only
+    held = reduce(lambda a, b: a | b, [low.contains(w if not stemmed else w[: max(1, len(w) - 2)]) for p in phrases for w in p[:1]])
+    counted = base.select("id", *counts).dropDuplicates(["id"])
+    likely = base.where(held).select("id", *counts).dropDuplicates(["id"])
     whole = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).collect()[0]
     score: Column = F.lit(0.0)
     for i in range(len(phrases)):
@@ -58,7 +63,7 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: str, limit: int, ste
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avg"] or 1.0)))
     some = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))])
-    return counted.where(some).select("id", F.round(score, 6).alias("score"), F.lit(1.0).alias("ref_score")).orderBy(F.desc("score"), "id").limit(limit)
+    return likely.where(some).select("id", F.round(score, 6).alias("score"), F.lit(1.0).alias("ref_score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], limit: int) -> DataFrame:

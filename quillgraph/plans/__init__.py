@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["integrity_queries", "graph_queries", "search_queries", "source_queries"]
+_MODULES = ["integrity_queries", "graph_queries", "search_queries", "source_queries", "relation_queries"]
 
 
 def all_registries() -> list:

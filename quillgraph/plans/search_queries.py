@@ -40,7 +40,21 @@ def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
     return search.bm25(table(spark, root, "documents"), "doc_id", F.col("text"), QUERY, 40)
 
 
-@registry.add("bm25_stemmed")
+_FORMS = {"renam": ["rename", "renames", "renamed", "renaming"], "caller": ["caller", "callers"]}
+
+
+def _stemmed_sql(source: str, limit: int) -> str:
+    """BM25 of stems whose word forms are few enough to be listed."""
+    values = ", ".join(f"('{stem}', {forms})" for stem, forms in _FORMS.items())
+    return f"""d AS (SELECT id, regexp_extract_all(lower(coalesce(t, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({source})),
+    whole AS (SELECT count(*) AS cnt, avg(len(w)) AS av FROM d),
+    tf AS (SELECT id, len(w) AS dl, term, len(list_filter(w, lambda x: list_contains(forms, x))) AS tf FROM d, (VALUES {values}) q(term, forms)),
+    df AS (SELECT term, greatest(ln((any_value(cnt) - count(*) FILTER (tf > 0) + 0.5) / (count(*) FILTER (tf > 0) + 0.5)), 1e-6) AS idf FROM tf, whole GROUP BY term),
+    bm AS (SELECT id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN df USING (term), whole GROUP BY id HAVING sum(tf) > 0)
+    SELECT id, score, 1.0::DOUBLE AS ref_score FROM bm ORDER BY score DESC, id LIMIT {limit}"""
+
+
+@registry.add("bm25_stemmed", f"WITH {_stemmed_sql('SELECT doc_id AS id, text AS t FROM documents', 40)}")
 def bm25_stemmed(spark: SparkSession, root: str) -> DataFrame:
     return search.bm25(table(spark, root, "documents"), "doc_id", F.col("text"), "renaming callers", 40, stemmed=True)
 
@@ -102,31 +116,61 @@ def _hits(spark: SparkSession, root: str) -> DataFrame:
     return nodes.join(search.bm25(nodes, "id", F.concat_ws(" ", "name", "signature", "snippet"), _NODE_QUERY, 16), "id")
 
 
-def _pack_sql(budget: int) -> str:
-    block = """'### ' || kind || ' `' || name || '`  ' || chr(10) || '`' || file_path || ':' || start_line || '-' || end_line || '` · lang: ' || coalesce(language, '') || ' · score: ' || printf('%.3f', score)
-      || CASE WHEN signature <> '' THEN chr(10) || chr(10) || '`' || signature || '`' ELSE '' END"""
-    lean = f"({block})"
-    full = f"({block} || CASE WHEN snippet <> '' THEN chr(10) || chr(10) || '```' || coalesce(language, '') || chr(10) || snippet || chr(10) || '```' ELSE '' END)"
-    return f"""WITH RECURSIVE {_LIVE}, {_bm25_sql(_NODE_TEXT, _NODE_QUERY, 16)},
-    h AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS i, id, {_EST.format(full)} AS cost, {_EST.format(lean)} AS lean FROM n JOIN lex USING (id)),
-    fold AS (SELECT 0 AS i, {_EST.format("'" + _NODE_QUERY + "'")} + 24 AS used, false AS done, 0 AS taken
+_MARK = "// … trimmed for token budget …"
+
+
+def _trimmed_sql(source: str, most: int) -> str:
+    """trim(id, trimmed): the snippets of ``source`` (id, snippet) cut to ``most``."""
+    return f"""tl AS (SELECT id, line, nr, sum({_EST.format("line")} + 1) OVER (PARTITION BY id ORDER BY nr) AS upto FROM (
+      SELECT id, unnest(string_split(snippet, chr(10))) AS line, unnest(range(1, len(string_split(snippet, chr(10))) + 1)) AS nr FROM ({source}))),
+    tcut AS (SELECT id, min(nr) AS cut FROM tl WHERE upto > {most} GROUP BY id),
+    trim AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (cut IS NULL OR nr < cut), '') || CASE WHEN any_value(cut) IS NULL THEN '' WHEN any_value(cut) = 1 THEN '{_MARK}' ELSE chr(10) || '{_MARK}' END AS trimmed
+      FROM tl LEFT JOIN tcut USING (id) GROUP BY id)"""
+
+
+def _esc(c: str, attribute: bool = False) -> str:
+    out = f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    return f"replace({out}, chr(34), '&quot;')" if attribute else out
+
+
+def _pack_sql(budget: int, xml: bool) -> str:
+    """The whole packing with the default cap, block by block."""
+    most, nl = budget // 3, "chr(10)"
+    if xml:
+        head = f"""('<symbol kind="' || kind || '" name="' || {_esc('name', True)} || '" file="' || {_esc('file_path', True)} || '" lines="' || start_line || '-' || end_line || '" lang="' || coalesce(language, '') || '" score="' || printf('%.3f', score) || '">'
+          || CASE WHEN signature <> '' THEN {nl} || '  <signature>' || {_esc('signature')} || '</signature>' ELSE '' END)"""
+        block = lambda c: f"({head} || CASE WHEN {c} <> '' THEN {nl} || '  <code><![CDATA[' || {c} || ']]></code>' ELSE '' END || {nl} || '</symbol>')"
+        shown = f"""'<context query="{_NODE_QUERY}" tokens="' || used || '">' || {nl} || body || {nl} || '</context>'"""
+        between = nl
+    else:
+        head = f"""('### ' || kind || ' `' || name || '`  ' || {nl} || '`' || file_path || ':' || start_line || '-' || end_line || '` · lang: ' || coalesce(language, '') || ' · score: ' || printf('%.3f', score)
+          || CASE WHEN signature <> '' THEN {nl} || {nl} || '`' || signature || '`' ELSE '' END)"""
+        block = lambda c: f"({head} || CASE WHEN {c} <> '' THEN {nl} || {nl} || '```' || coalesce(language, '') || {nl} || {c} || {nl} || '```' ELSE '' END)"
+        shown = f"""'# Context for: {_NODE_QUERY}' || {nl} || {nl} || '_' || taken || ' symbols · ~' || used || '/{budget} tokens_' || {nl} || {nl} || body"""
+        between = f"{nl} || {nl} || '---' || {nl} || {nl}"
+    lean = block("CAST(NULL AS VARCHAR)")
+    return f"""WITH RECURSIVE {_LIVE}, {_bm25_sql(_NODE_TEXT, _NODE_QUERY, 16)}, top AS (SELECT n.*, lex.score FROM n JOIN lex USING (id)), {_trimmed_sql("SELECT id, snippet FROM top WHERE snippet <> ''", most)},
+    b AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS i, {block('snippet')} AS full_block, {block('trimmed')} AS cut_block, {lean} AS lean_block, snippet FROM top LEFT JOIN trim USING (id)),
+    h AS (SELECT i, blk, lean_block, {_EST.format('blk')} AS cost, {_EST.format('lean_block')} AS lean FROM (SELECT i, lean_block, CASE WHEN {_EST.format('full_block')} > {most} AND snippet <> '' THEN cut_block ELSE full_block END AS blk FROM b)),
+    fold AS (SELECT 0 AS i, {_EST.format("'" + _NODE_QUERY + "'")} + 24 AS used, false AS done, 0 AS taken, '' AS body
       UNION ALL SELECT h.i, CASE WHEN f.done THEN f.used WHEN f.used + cost <= {budget} THEN f.used + cost WHEN f.used + lean <= {budget} THEN f.used + lean ELSE f.used END,
-        f.done OR (f.used + cost > {budget} AND f.used + lean > {budget}), f.taken + CASE WHEN f.done OR (f.used + cost > {budget} AND f.used + lean > {budget}) THEN 0 ELSE 1 END
+        f.done OR (f.used + cost > {budget} AND f.used + lean > {budget}), f.taken + CASE WHEN f.done OR (f.used + cost > {budget} AND f.used + lean > {budget}) THEN 0 ELSE 1 END,
+        f.body || CASE WHEN f.done OR (f.used + cost > {budget} AND f.used + lean > {budget}) THEN '' ELSE CASE WHEN f.taken > 0 THEN {between} ELSE '' END || CASE WHEN f.used + cost <= {budget} THEN blk ELSE lean_block END END
       FROM fold f JOIN h ON h.i = f.i + 1)
-    SELECT used AS tokens_used, taken AS n_hits FROM fold ORDER BY i DESC LIMIT 1"""
+    SELECT used AS tokens_used, taken AS n_hits, {shown} AS formatted FROM fold ORDER BY i DESC LIMIT 1"""
 
 
-@registry.add("context_pack", _pack_sql(900))
+@registry.add("context_pack", _pack_sql(900, False))
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
-    return search.pack_context(_hits(spark, root), _NODE_QUERY, budget=900, cap=900).select("tokens_used", "n_hits")
+    return search.pack_context(_hits(spark, root), _NODE_QUERY, budget=900).select("tokens_used", "n_hits", "formatted")
 
 
-@registry.add("context_bundle")
+@registry.add("context_bundle", _pack_sql(900, True))
 def context_bundle(spark: SparkSession, root: str) -> DataFrame:
-    return search.pack_context(_hits(spark, root), _NODE_QUERY, budget=900, xml=True)
+    return search.pack_context(_hits(spark, root), _NODE_QUERY, budget=900, xml=True).select("tokens_used", "n_hits", "formatted")
 
 
-@registry.add("snippet_trim")
+@registry.add("snippet_trim", f"WITH {_LIVE}, {_trimmed_sql('SELECT id, snippet FROM n WHERE snippet IS NOT NULL', 60)} SELECT id, trimmed FROM trim")
 def snippet_trim(spark: SparkSession, root: str) -> DataFrame:
     return live(spark, root).where("snippet IS NOT NULL").select("id", search.trim_snippet(F.col("snippet"), 60).alias("trimmed"))
 

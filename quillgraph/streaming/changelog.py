@@ -29,9 +29,9 @@ def last_operations(batch: DataFrame, key: str = "path", order: str = "seq") ->
 def quiet_periods(log: DataFrame, gap: str = "200 milliseconds", late: str = "10 minutes") -> DataFrame:
     """(path, start, end, op, n): debouncing in event time, one row for each path and burst of changes without a gap; rows later than
     ``late`` behind the newest are dropped by the watermark."""
+    marked = log.withWatermark("ts", late) if log.isStreaming else log
     return (
-        log.withWatermark("ts", late)
-        .groupBy("path", F.session_window("ts", gap).alias("w"))
+        marked.groupBy("path", F.session_window("ts", gap).alias("w"))
         .agg(F.max_by("op", "seq").alias("op"), F.count(F.lit(1)).alias("n"))
         .select("path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "op", "n")
     )

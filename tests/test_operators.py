@@ -69,6 +69,20 @@ def test_snapshots_and_merkle(spark):
     leaves = [h("p", "1"), h("q", "2"), h("r", "3")]
     assert changes.merkle_root(a) == h(h(leaves[0], leaves[1]), h(leaves[2], leaves[2]))
     assert changes.merkle_root(a.limit(0)) == h("empty")
+    assert {r["path"]: r["changed"] for r in changes.set_leaves(a, b.unionByName(spark.createDataFrame([("r", None)], "path string, hash string"))).collect()} == {"p": False, "q": True, "s": True, "r": True}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8, 9, 31, 33, 64, 65, 100])
+def test_merkle_in_blocks(spark, monkeypatch, n):
+    import hashlib
+
+    monkeypatch.setattr(changes, "LEVELS", 3)
+    files = [(f"f{i:03}", str(i)) for i in range(n)]
+    h = lambda *x: hashlib.sha1(("".join(x) + "\0").encode()).hexdigest()
+    level = [h(*f) for f in files]
+    while len(level) > 1:
+        level = [h(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+    assert changes.merkle_root(spark.createDataFrame(files, "path string, hash string").repartition(3)) == level[0]
 
 
 def test_orphans(spark):
