@@ -36,7 +36,8 @@ def borda(items: DataFrame, scores: dict[str, float], id_col: str = "node_id") -
 
     Returns (id_col, the scores, points, place): an item's points for one score are ``(rank - 0.5) / ranked``, rank 1 being
     the lowest of the ``ranked`` items that have it and ties sharing the mean of their ranks; a missing score (null, NaN,
-    infinite) gets 0.5, the middle. ``points`` is the weighted mean, ``place`` counts from the highest, equal points by id.
+    infinite) gets 0.5, the middle. ``points`` is the weighted mean, ``place`` counts from the highest, points that are equal to
+    twelve digits by id.
 
     Only the order within a score matters, so no score counts for more because its range is larger. Items are expected
     once each; an empty input gives an empty ranking.
@@ -44,21 +45,25 @@ def borda(items: DataFrame, scores: dict[str, float], id_col: str = "node_id") -
     total = float(sum(scores.values()))
     if total <= 0:
         raise ValueError("weights must have a positive sum")
-    base = items.select(id_col, *[_usable(F.col(c)).alias(c) for c in scores])
+    # read several times below, for each score and once more for the points
+    base = materialise(items.select(id_col, *[_usable(F.col(c)).alias(c) for c in scores]))
     points: Column = F.lit(0.0)
     for c, weight in scores.items():
         counted = base.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         place = positions(counted)
         ranked = base.agg(F.count(c).alias("m")).scalar()
-        base = base.join(place.select(F.col("value").alias(c), F.col("place").alias(f"_{c}")), c, "left")
+        # missing scores match nothing; a number of their own keeps them from meeting in one task
+        own = F.when(F.col(c).isNull(), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+        right = place.select(F.col("value").alias(c), F.col("place").alias(f"_{c}"), F.lit(0).cast("bigint").alias("_own"))
+        base = base.withColumn("_own", own.cast("bigint")).join(right, [c, "_own"], "left").drop("_own")
         points = points + F.lit(weight / total) * F.coalesce((F.col(f"_{c}") - 0.5) / ranked, F.lit(0.5))
-    summed = materialise(base.select(id_col, *scores, F.round(points, 9).alias("points")))
+    summed = materialise(base.select(id_col, *scores, F.round(points, 12).alias("points")))
     # the order of the whole: ranges of (points, id) numbered each by itself, as for the scores
     ordered = materialise(summed.repartitionByRange(F.desc("points"), F.asc(id_col)).withColumn("part", F.spark_partition_id()))
     totals = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = Window.partitionBy("part").orderBy(F.desc("points"), id_col)
-    return ordered.join(F.broadcast(before), "part").select(id_col, *scores, "points", (F.col("before") + F.row_number().over(own)).alias("place"))
+    return ordered.join(F.broadcast(before), "part").select(id_col, *scores, F.round("points", 9).alias("points"), (F.col("before") + F.row_number().over(own)).alias("place"))
 
 
 def node_scores(nodes: DataFrame, ranks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 BITS, LEVELS = 10, 6
 BUCKETS = 1 << BITS
+#: Targets up to this number are broadcast to the documents' tasks; more of them are joined as Spark sees fit.
+FEW = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -74,8 +76,10 @@ class Mixture:
             F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("cap"),
         ).where(F.col("source").isNotNull() & ~F.isnan("share"))
         self.wanted = wanted.groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
+        few = self.wanted.limit(FEW + 1).count() <= FEW
+        self._small = F.broadcast if few else lambda df: df
         docs = documents.select("doc_id", normal_source(F.col("source")).alias("source"), "text")
-        part = docs.join(F.broadcast(self.wanted.select("source")), "source", "left_semi")
+        part = docs.join(self._small(self.wanted.select("source")), "source", "left_semi")
         sized = count_tokens(part.select("doc_id", "source", "text"), path=tokenizer)
         #: (doc_id, source, tokens, h): h in [0, 2^60)
         self.sized = materialise(sized.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 4)))
@@ -94,18 +98,23 @@ class Mixture:
         # one row for each source: the quota left for the partial copy, and the hash range in which it runs out
         self.plan = materialise(plan.withColumn("rest", F.col("goal") - F.col("whole") * F.col("available")))
         edge = self.plan.select("source", "rest", F.lit(0).cast("bigint").alias("floor"))
+        rows = self.sized
         for level in range(LEVELS):
             shift = 60 - BITS * (level + 1)
             bucket = F.shiftright("h", shift).alias("bucket")
-            inside = self.sized.join(F.broadcast(edge), "source")
+            inside = rows.join(self._small(edge), "source")
             if level:
                 inside = inside.where(F.shiftright("h", shift + BITS) == F.shiftright("floor", shift + BITS))
+            if level == 1:
+                # from here on only the boundary buckets are read, one part in BUCKETS of each source
+                rows = materialise(inside.select("source", "tokens", "h"))
+                inside = rows.join(self._small(edge), "source")
             hist = inside.groupBy("source", bucket).agg(F.sum("tokens").alias("tokens"))
             upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             # the first bucket whose tokens no longer fit; where all fit, the one after the last
             cut = (
                 hist.withColumn("sum", F.sum("tokens").over(upto))
-                .join(F.broadcast(edge), "source")
+                .join(self._small(edge), "source")
                 .groupBy("source")
                 .agg(
                     F.min(F.when(F.col("sum") > F.col("rest"), F.col("bucket"))).alias("over"),
@@ -125,7 +134,7 @@ class Mixture:
 
     def copies(self) -> DataFrame:
         """(doc_id, source, tokens, copies) of the documents taken at least once."""
-        rule = F.broadcast(self.plan.select("source", "whole").join(self.edges, "source"))
+        rule = self._small(self.plan.select("source", "whole").join(self.edges, "source"))
         return (
             self.sized.join(rule, "source")
             .withColumn("copies", F.col("whole") + (F.col("h") < F.col("threshold")).cast("int"))

@@ -109,7 +109,7 @@ _BORDA = {"rank": 1.0, "confidence": 1.0, "in_degree": 1.0}
       CASE WHEN confidence IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY confidence IS NULL ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 - 0.5) / count(confidence) OVER () END AS p2,
       (rank() OVER (ORDER BY in_degree) + (count(*) OVER (PARTITION BY in_degree) - 1) / 2.0 - 0.5) / count(*) OVER () AS p3 FROM s)
     SELECT node_id, rank, confidence, in_degree, round((p1 + p2 + p3) / 3, 9) AS points,
-      row_number() OVER (ORDER BY round((p1 + p2 + p3) / 3, 9) DESC, node_id) AS place FROM p""".replace("GROUP BY ALL", "GROUP BY 1, 2"),
+      row_number() OVER (ORDER BY round((p1 + p2 + p3) / 3, 12) DESC, node_id) AS place FROM p""".replace("GROUP BY ALL", "GROUP BY 1, 2"),
 )
 def p7_ranking(spark: SparkSession, root: str) -> DataFrame:
     scores = fusion.node_scores(table(spark, root, "nodes"), table(spark, root, "ranks"), table(spark, root, "edges"))

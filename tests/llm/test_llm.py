@@ -436,6 +436,36 @@ def test_mixture(spark):
     assert mixing.Mixture(d.limit(0), t).copies().count() == 0 and mixing.Mixture(d, t.limit(0)).copies().count() == 0
 
 
+def test_mixture_on_the_tables(spark):
+    """Shares against a count in plain Python: no source takes more than its quota, nor less than it by more than its largest document."""
+    root = "/root/testdata/sf0.01"
+    d, t = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/mix_targets.parquet")
+    m = mixing.Mixture(d, t)
+    report, copies = m.report().collect(), m.copies().collect()
+    enc = mixing._encoding(mixing.TOKENIZERS + "/byte_bpe_50k.tiktoken")
+    name = lambda s: "_".join((s or "").strip().lower().replace("-", " ").split()) or None
+    sizes = {r["doc_id"]: (name(r["source"]), len(enc.encode_ordinary(r["text"])) if r["text"] else 0) for r in d.collect()}
+    targets = {}
+    for r in t.collect():
+        if name(r["source"]):
+            share, cap = targets.get(name(r["source"]), (0.0, 1))
+            targets[name(r["source"])] = (share + (r["target_share"] if r["target_share"] and r["target_share"] > 0 else 0.0), max(cap, r["max_repeats"] or 1))
+    total = sum(n for s, n in sizes.values() if s in targets)
+    taken = {}
+    for c in copies:
+        source, n = sizes[c["doc_id"]]
+        assert (c["source"], c["tokens"]) == (source, n) and 1 <= c["copies"] <= targets[source][1]
+        taken[source] = taken.get(source, 0) + n * c["copies"]
+    assert {r["source"] for r in report} == set(targets)
+    for r in report:
+        share, cap = targets[r["source"]]
+        own = [n for s, n in sizes.values() if s == r["source"]]
+        quota = int(share / sum(x for x, _ in targets.values()) * total)
+        goal = min(quota, sum(own) * cap)
+        assert abs(r["quota"] - quota) <= 1 and r["tokens"] == taken.get(r["source"], 0)
+        assert goal - max(own, default=0) - 1 <= r["tokens"] <= goal + 1, r["source"]
+
+
 # 10 abuse
 
 ABUSIVE = ["You are a complete idiot.", "you are too s t u p i d to breathe", "What kind of m0r0n reviews like this?", "Y.o.u are a f**l", "I will break your fingers", "Send me nud35 and I approve", "Du bist ein Vollidiot!", "Ferme ta gueule",
