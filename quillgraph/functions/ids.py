@@ -24,9 +24,5 @@ def documents_edge_id(asset: Column, target: Column) -> Column:
     return F.substring(F.sha1(F.concat(F.lit("documents"), asset, target)), 1, 20)
 
 
-def file_hash(content: Column) -> Column:
-    return F.sha1(content)
-
-
 def qualified_name(name: Column, parent: Column) -> Column:
     return F.when(parent.isNull(), name).otherwise(F.concat(parent, F.lit("."), name))

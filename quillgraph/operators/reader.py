@@ -553,6 +553,7 @@ class _Pass:
             if tok[k] == ":" and self.out.language in ("cpp", "csharp"):
                 # what a constructor initialises stands before its block
                 while k < stop and tok[k] not in ("{", ";"):
+                    self.declared |= {k} if tok[k] == "(" else set()
                     k = scan.close.get(k, k) + 1 if tok[k] in "([" else k + 1
                 break
             k = scan.close.get(k, k) + 1 if tok[k] in "([" else self.type_end(k) if tok[k] == ":" else k + 1

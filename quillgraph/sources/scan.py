@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,17 +67,40 @@ def exclusion_pattern(globs: list[str]) -> str:
     return "|".join(parts)
 
 
+def _read_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got, keep = [], []
+        for i, path in enumerate(b.column(0).to_pylist()):
+            try:
+                with open(path, "rb") as f:
+                    got.append(f.read())
+                keep.append(i)
+            except OSError:
+                continue
+        kept = b.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(got, pa.binary()), kept.column(2), kept.column(3)], names=["path", "content", "size", "mtime_ms"])
+
+
 def scan_files(spark: SparkSession, root: str, excludes: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, content, size, mtime_ms): files below ``root`` by relative POSIX path, without excluded and oversized ones.
 
-    Length is filtered before contents are read; files that cannot be read are passed over.
+    Paths and lengths are listed and filtered first, so no excluded file is opened; files that cannot be read are passed over. A
+    root with a scheme other than ``file`` is read by Spark's own source, which filters by length before it reads.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(base)
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    local = "://" not in base or base.startswith("file:")
+    base = re.sub("^file:/+", "/", base)
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, "^file:/+", "/")
     rel = F.substring(path, len(base) + 2, 1 << 30)
-    kept = raw.where(F.col("length") <= max_bytes).select(rel.alias("path"), "content", F.col("length").alias("size"), (F.unix_millis("modificationTime")).cast("double").alias("mtime_ms"))
-    return kept.where(~F.col("path").rlike(exclusion_pattern(excludes if excludes is not None else DEFAULT_EXCLUDES)))
+    found = raw.where(F.col("length") <= max_bytes).withColumn("_rel", rel)
+    found = found.where(~F.col("_rel").rlike(exclusion_pattern(excludes if excludes is not None else DEFAULT_EXCLUDES)))
+    mtime = F.unix_millis("modificationTime").cast("double").alias("mtime_ms")
+    if not local:
+        return found.select(F.col("_rel").alias("path"), "content", F.col("length").alias("size"), mtime)
+    listed = found.select(path.alias("at"), F.col("_rel").alias("path"), F.col("length").alias("size"), mtime)
+    return listed.mapInArrow(_read_local, "path string, content binary, size bigint, mtime_ms double")
 
 
 def snapshot(scanned: DataFrame) -> DataFrame:

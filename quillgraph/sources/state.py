@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,46 +18,65 @@ SCHEMAS = {
 
 
 class Store:
-    """Tables below one folder; a reader keeps the version it began with until the next one is written twice over.
-
-    The folder must be one that driver and executors share.
+    """Tables below one folder, of any file system that Spark reads; a reader keeps the version it began with until the next one is
+    written twice over. Driver and executors must share the folder.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        os.makedirs(self.path, exist_ok=True)
-        self._meta = os.path.join(self.path, "meta.json")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._at(self.path).getFileSystem(self._conf).mkdirs(self._at(self.path))
+        self._meta = f"{self.path}/meta.json"
+
+    def _at(self, path: str):
+        # a path without scheme is one of the driver's own file system, as it always was
+        return self._hadoop.Path(path if "://" in path or path.startswith("file:") else f"file:{path}")
 
     def meta(self) -> dict:
+        at = self._at(self._meta)
+        fs = at.getFileSystem(self._conf)
+        if not fs.exists(at):
+            return {}
+        stream = fs.open(at)
         try:
-            with open(self._meta, encoding="utf-8") as f:
-                return json.load(f)
-        except (OSError, ValueError):
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
             return {}
+        finally:
+            stream.close()
 
     def set_meta(self, **values) -> None:
-        new = self.meta() | values
-        part = f"{self._meta}.{uuid.uuid4().hex}"
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump(new, f)
-        os.replace(part, self._meta)
+        """Change some values; the file is replaced in one step, so a reader sees the old or the new one."""
+        part, at = self._at(f"{self._meta}.{uuid.uuid4().hex}"), self._at(self._meta)
+        stream = part.getFileSystem(self._conf).create(part, True)
+        stream.write(bytearray(json.dumps(self.meta() | values).encode()))
+        stream.close()
+        rename = getattr(self._hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self._hadoop.FileContext.getFileContext(at.toUri(), self._conf).rename(part, at, how)
+
+    def _folder(self, name: str) -> str:
+        return self._at(f"{self.path}/{name}").toString()
 
     def read(self, name: str) -> DataFrame:
         at = self.meta().get("tables", {}).get(name)
         schema = SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._folder(at)) if at else self.spark.createDataFrame([], schema)
 
     def write(self, **tables: DataFrame) -> None:
         """Write each table anew and switch to all of them at once."""
-        import shutil
-
-        before = self.meta().get("tables", {})
+        meta = self.meta()
+        before, dropped = meta.get("tables", {}), meta.get("drop") or {}
         now = {}
         for name, df in tables.items():
             now[name] = f"{name}-{uuid.uuid4().hex[:12]}"
             cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*cols).write.option("compression", "zstd").parquet(f"{self.path}/{now[name]}")
-        self.set_meta(tables=before | now, last={k: v for k, v in before.items() if k in now})
-        for old in (self.meta().get("drop") or {}).values():
-            shutil.rmtree(f"{self.path}/{old}", ignore_errors=True)
-        self.set_meta(drop={k: v for k, v in before.items() if k in now})
+            df.select(*cols).write.option("compression", "zstd").parquet(self._folder(now[name]))
+        stale = {k: v for k, v in before.items() if k in now}
+        self.set_meta(tables=before | now, drop=dropped | stale)
+        for name, old in dropped.items():
+            if name in now:
+                at = self._at(f"{self.path}/{old}")
+                at.getFileSystem(self._conf).delete(at, True)

@@ -2,13 +2,15 @@
 
 import io
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import cli, config
 from quillgraph.engine import Engine
-from quillgraph.operators import extract
+from quillgraph.operators import extract, reader
 from quillgraph.streaming import changelog
 
 SOURCES = {
@@ -105,6 +107,8 @@ def test_incremental_equals_full(spark, tmp_path):
     (tmp_path / "a/m0.ts").write_text(tree(n)["m0.ts"] + "// more\n")
     again = e.index()
     assert (again["added"], again["changed"], again["removed"]) == (0, 1, 0)
+    # the file, those that call what it has, and those that import it; not all of them
+    assert 1 <= e.affected < n
     assert {tuple(r) for r in e.edges().where("kind = 'calls'").collect()} == before
     (tmp_path / "a/m1.ts").unlink()
     assert e.index()["removed"] == 1
@@ -141,6 +145,82 @@ def test_stateful_change_detection(spark, tmp_path):
     assert [(r["path"], r["op"]) for r in spark.table("changes").collect()] == [("a", "upsert"), ("a", "upsert"), ("a", "remove")]
 
 
+def _read(path, language, text):
+    p = reader.parse_text(path, language, text)
+    names = {n[0]: n[2] for n in p.nodes}
+    return {(n[1], n[2]): json.loads(n[9] or "{}") for n in p.nodes[1:]}, {(names[s[1]], s[3], s[2]) for s in p.sites}
+
+
+TS = """import type {
+  B } from "b";
+export class Foo<T> extends Bar.Baz<T> implements Qux, Quux<string> {
+  q = /["{]/;
+  private handler = (e: Event): void => { this.run(e); };
+  async m<T>(a: { b: (x: number) => void }): Promise<T> { return helper(a)!; }
+  abstract n(): void;
+}
+interface I extends J { f(x: number): void; cb: (e: number) => void }
+type X = { a: (b: number) => void };
+const h: Fn = (a) => a.b().c(2);
+const obj = { k: function () { one(); }, l: (z) => two(z), mm() { three(); }, n: 3 };
+exports.w = function () { four(); };
+function after() { map.delete(five()); }
+"""
+
+
+def test_reading_typescript():
+    got, calls = _read("a.ts", "typescript", TS)
+    assert got["class", "Foo"]["supers"] == ["Baz", "Qux", "Quux"] and got["interface", "I"]["supers"] == ["J"]
+    assert {k for k in got if k[0] == "method"} == {("method", "m")} and got["method", "m"]["parent"] == "Foo"
+    assert {k[1] for k in got if k[0] == "function"} == {"handler", "h", "k", "l", "mm", "w", "after"} and got["function", "handler"]["parent"] == "Foo" and ("import", "b") in got
+    assert calls == {("handler", "this", "run"), ("m", None, "helper"), ("h", "a", "b"), ("h", "a.b()", "c"), ("k", None, "one"), ("l", None, "two"), ("mm", None, "three"), ("w", None, "four"), ("after", "map", "delete"), ("after", None, "five")}
+
+
+@pytest.mark.parametrize(
+    "ext,language,text,names,supers,calls",
+    [
+        ("java", "java", "import a.B;\npublic class C<T> extends D<T> implements E, F<G> {\n  C() { super(); }\n  public <R> R map(Fn<T, R> f) { return f.apply(this.get()); }\n}\nrecord P(int x) implements Q { int two() { return x; } }\n", {"C", "map", "P", "two"}, {"C": ["D", "E", "F"], "P": ["Q"]}, {("map", "f", "apply"), ("map", "this", "get")}),
+        ("cpp", "cpp", "#include <v>\nclass A : public B, private C<D> { public: A(int x) : x_(x) { init(); } int get() const { return x_; } };\nint A::go(int a) { return help(a); }\nvoid top(void) { s->m(1); }\n", {"A", "get", "go", "top"}, {"A": ["B", "C"]}, {("A", None, "init"), ("go", None, "help"), ("top", "s", "m")}),
+        ("cs", "csharp", "using S.T;\nclass A : B, IC<D> { public int G() => H(1); async Task<int> J<T>(T x) where T : new() { return await K(x); } }\n", {"A", "G", "J"}, {"A": ["B", "IC"]}, {("G", None, "H"), ("J", None, "K")}),
+        ("rb", "ruby", "require 'x'\nclass A < B::C\n  def f(x)\n    g(x) if x\n    if y\n      h(1)\n    end\n  end\n  def self.k?\n    l()\n  end\nend\ndef top; m(2); end\n", {"A", "f", "k?", "top"}, {"A": ["C"]}, {("f", None, "g"), ("f", None, "h"), ("k?", None, "l"), ("top", None, "m")}),
+        ("kt", "kotlin", "import a.b\nclass K(val x: Int) : L(x), M {\n  fun roll(): Int {\n    return stop(x)\n  }\n  fun one() = two()\n}\n", {"K", "roll", "one"}, {"K": ["L", "M"]}, {("roll", None, "stop"), ("one", None, "two")}),
+        ("rs", "rust", "use a::b;\npub trait T: U { fn d(&self) -> i32 { self.e() } }\nimpl<'a> T for S<'a> { fn f(&self) { let c = 'x'; S::new(); } }\n", {"T", "d", "S", "f"}, {"T": ["U"], "S": ["T"]}, {("d", "self", "e"), ("f", "S", "new")}),
+        ("php", "php", "<?php\nuse A\\B;\nclass C extends D implements E { public function f($x) { return $this->g($x); } }\n", {"C", "f"}, {"C": ["D", "E"]}, {("f", "$this", "g")}),
+        ("swift", "swift", "import U\nclass A: B, C {\n  func f(_ x: Int) -> Int { return g(x) }\n}\n", {"A", "f"}, {"A": ["B", "C"]}, {("f", None, "g")}),
+        ("scala", "scala", "import a.b\nclass A(x: Int) extends B(x) with C {\n  def f(y: Int): Int = g(y)\n}\n", {"A", "f"}, {"A": ["B", "C"]}, {("f", None, "g")}),
+        ("py", "python", "class A(Base):\n    def f(self):\n        self.g()\n    def g(self:\n        h(1)\n", {"A", "f", "g"}, {"A": ["Base"]}, {("f", "self", "g"), ("g", None, "h")}),
+    ],
+)
+def test_reading_languages(ext, language, text, names, supers, calls):
+    got, found = _read(f"a.{ext}", language, text)
+    assert {k[1] for k in got if k[0] != "import"} == names and {k[1]: v["supers"] for k, v in got.items() if "supers" in v} == supers
+    assert found == calls and (language == "python" or [k for k in got if k[0] == "import"])
+
+
+def test_reading_is_linear_and_never_fails():
+    times = []
+    for n in (2000, 16000):
+        text = "\n".join(f"function f{i}() {{ return g{i}(); }}" for i in range(n))
+        began = time.process_time()
+        assert len(reader.parse_text("a.ts", "typescript", text).nodes) == n + 1
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * times[0]
+    rng = random.Random(1)
+    for language in [*reader.LANGUAGES, "unknown"]:
+        for _ in range(40):
+            text = "".join(rng.choice(["class ", "def ", "function ", "(", ")", "{", "}", "a", " b", "\n", "'", '"', "/*", "=>", "=", ":", "<", ">", ",", ";", "impl ", "type ", "end ", "if "]) for _ in range(60))
+            assert "error" not in json.loads(reader.parse_text("x", language, text).nodes[0][9] or "{}"), (language, text)
+
+    def broken(out, text):
+        raise RuntimeError("no")
+
+    reader.register("toy", broken)
+    assert "RuntimeError" in reader.parse_text("x", "toy", "text").nodes[0][9]
+    reader.register("toy", lambda out, text: bool(out.symbol("function", "t", 1, 1)))
+    assert [n[2] for n in reader.parse_text("x", "toy", "text").nodes] == ["x", "t"]
+    del reader.READERS["toy"]
+
+
 def test_extraction_details(spark):
     texts = {
         "r.py": "@app.get('/x')\ndef handler():\n    return run()\n", "Api.java": "class Api {\n  @GetMapping(\"/y\")\n  String show() { return build(); }\n}\n",
