@@ -7,6 +7,7 @@ import json
 import os
 import sys
 
+from . import server
 from .config import CONFIG_NAME
 from .engine import Engine
 from .session import local_session
@@ -27,6 +28,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--format", choices=("markdown", "xml"), default="markdown")
     sub.add_parser("repomap").add_argument("--limit", type=int, default=25)
     sub.add_parser("watch").add_argument("log", help="folder of the change log")
+    sub.add_parser("serve").add_argument("--log", help="folder of a change log to follow")
     e = sub.add_parser("export")
     e.add_argument("--format", choices=("html", "dot", "json"), default="html")
     e.add_argument("--focus")
@@ -72,6 +74,8 @@ def run(args: list[str], spark=None, out=sys.stdout) -> int:
             print(json.dumps(engine.metrics()), file=out)
         case "watch":
             engine.follow(a.log, on_batch=lambda b: print(json.dumps(b), file=out, flush=True), trigger={"processingTime": "1 second"}).awaitTermination()
+        case "serve":
+            server.serve(engine, out=out, log=a.log)
         case "export":
             text = engine.render_graph(a.format, a.focus)
             if a.out:

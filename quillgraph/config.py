@@ -21,6 +21,8 @@ class Config:
     token_budget: int = 8000
     embeddings: str = "local"
     viewer: str = "inline"
+    mode: str = "auto"
+    parsing: str = "auto"
 
 
 def load_file(root: str) -> dict:
@@ -42,3 +44,15 @@ def resolve(root: str, **overrides) -> Config:
         values["exclude"] = tuple(values["exclude"])
     cfg = replace(Config(root=root), **values)
     return cfg if cfg.state else replace(cfg, state=os.path.join(root, ".quillgraph"))
+
+
+#: Numbers of files from which a tree counts as big, and from which it is parsed by workers.
+BIG_TREE, MANY_FILES = 2_500, 1_500
+
+
+def effective_modes(cfg: Config, n_files: int) -> dict[str, str]:
+    """What the settings come to for a tree of ``n_files``: ``mode`` (single or monorepo) and ``parsing`` (inline or workers). For
+    information only: Spark's tasks are the workers, at any size."""
+    big = cfg.mode == "monorepo" or (cfg.mode == "auto" and n_files > BIG_TREE)
+    parsing = cfg.parsing if cfg.parsing != "auto" else "workers" if n_files > MANY_FILES else "inline"
+    return {"mode": "monorepo" if big else "single", "parsing": parsing}

@@ -23,7 +23,7 @@ class Engine:
         self.spark, self.cfg = spark, config.resolve(root, **overrides)
         self.store = Store(spark, self.cfg.state)
         self.provider = providers.choose(self.cfg.embeddings, self.cfg.embedding_dim)
-        self._ranked, self.affected = time.time(), 0
+        self._ranked, self.affected, self._streams = time.time(), 0, []
 
     # indexing ------------------------------------------------------------------------------------------------------
 
@@ -99,7 +99,21 @@ class Engine:
             files = materialise(before.join(touched, "path", "left_anti").unionByName(new.select(*before.columns)))
             self._apply(small.join(touched, "path", "left_semi").select("path", F.col("content").alias("text")), touched, files, rank=time.time() - self._ranked >= rank_every)
 
-        return changelog.apply_log(changelog.read_log(self.spark, log_folder), apply, f"{self.cfg.state}/stream", on_batch, trigger)
+        stream = changelog.apply_log(changelog.read_log(self.spark, log_folder), apply, f"{self.cfg.state}/stream", on_batch, trigger)
+        self._streams.append(stream)
+        return stream
+
+    def stop_watch(self) -> None:
+        """Stop following; what a batch has not finished is done again by the next ``follow``."""
+        for stream in self._streams:
+            stream.stop()
+        self._streams = []
+
+    def close(self) -> None:
+        """Stop following and bring the ranks up to date. The session stays the caller's."""
+        self.stop_watch()
+        if self.store.meta().get("ranksOutdated"):
+            self._rank()
 
     # questions -----------------------------------------------------------------------------------------------------
 

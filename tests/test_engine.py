@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import cli, config
+from quillgraph import cli, config, server
 from quillgraph.engine import Engine
 from quillgraph.operators import extract, reader
 from quillgraph.streaming import changelog
@@ -90,6 +90,23 @@ def test_cli(indexed, spark):
     (root / config.CONFIG_NAME).unlink()
 
 
+def test_server(indexed):
+    e, _, _ = indexed
+    ask = lambda method, **params: {"jsonrpc": "2.0", "id": 1, "method": method, "params": params}
+    lines = [ask("initialize"), {"jsonrpc": "2.0", "method": "notifications/initialized"}, ask("tools/list"), ask("tools/call", name="routes"), ask("tools/call", name="search", arguments={}), ask("tools/call", name="none"), ask("none")]
+    out = io.StringIO()
+    server.serve(e, io.StringIO("\n".join(map(json.dumps, lines)) + "\n{\n"), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == 7 and got[0]["result"]["serverInfo"]["name"] == "quillgraph" and len(got[1]["result"]["tools"]) == 10
+    assert "listPeople" in got[2]["result"]["content"][0]["text"] and got[3]["result"]["isError"] and got[4]["error"]["code"] == -32602 and got[5]["error"]["code"] == -32601 and got[6]["error"]["code"] == -32700
+
+
+def test_modes():
+    cfg = config.Config(root=".")
+    assert config.effective_modes(cfg, 10) == {"mode": "single", "parsing": "inline"} and config.effective_modes(cfg, 3000) == {"mode": "monorepo", "parsing": "workers"}
+    assert config.effective_modes(config.Config(root=".", mode="monorepo", parsing="inline"), 9999) == {"mode": "monorepo", "parsing": "inline"}
+
+
 def test_incremental_equals_full(spark, tmp_path):
     def tree(n):
         return {f"m{i}.ts": f"import {{ Unit{(i + 1) % n} }} from './m{(i + 1) % n}';\nexport class Unit{i} {{\n  compute{i}() {{\n    return this.helper{i}() + this.dep.value{(i + 1) % n}();\n  }}\n  helper{i}() {{\n    return 1;\n  }}\n  value{i}() {{\n    return 2;\n  }}\n}}\nexport function run{i}() {{\n  const it = new Unit{i}();\n  return it.compute{i}();\n}}\n" for i in range(n)}
