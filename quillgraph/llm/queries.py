@@ -29,7 +29,18 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return SharedSpans(table(spark, root, "nodes")).pairs()
 
 
-@registry.add("p1_shared_parts")
+@registry.add(
+    "p1_shared_parts",
+    """WITH t AS (SELECT DISTINCT id, snippet, md5(snippet) AS cls FROM nodes WHERE id IS NOT NULL AND snippet IS NOT NULL),
+    texts AS (SELECT DISTINCT cls, snippet FROM t WHERE length(snippet) >= 120),
+    wins AS (SELECT cls, i, md5(substr(snippet, CAST(i AS INT), 120)) AS w FROM (SELECT cls, snippet, unnest(range(1, length(snippet) - 118)) AS i FROM texts)),
+    met AS (SELECT w FROM wins GROUP BY w HAVING count(DISTINCT cls) > 1),
+    cover AS (SELECT cls, sum(least(120, step)) AS covered FROM (SELECT cls, i - coalesce(lag(i) OVER (PARTITION BY cls ORDER BY i), i - 120) AS step FROM wins WHERE w IN (SELECT w FROM met)) GROUP BY cls),
+    copies AS (SELECT cls, count(DISTINCT id) AS n FROM t WHERE length(snippet) >= 120 GROUP BY cls),
+    one AS (SELECT id, arg_max(cls, row(length(snippet), cls)) AS cls, max(length(snippet)) AS n_chars FROM t GROUP BY id)
+    SELECT id, n_chars, CAST(CASE WHEN n > 1 THEN n_chars ELSE coalesce(covered, 0) END AS INT) AS shared_chars, round((CASE WHEN n > 1 THEN n_chars ELSE coalesce(covered, 0) END) / nullif(n_chars, 0), 6) AS shared_part, cls AS class_id
+    FROM one LEFT JOIN cover USING (cls) LEFT JOIN copies USING (cls)""",
+)
 def p1_shared_parts(spark: SparkSession, root: str) -> DataFrame:
     return SharedSpans(table(spark, root, "nodes")).per_record()
 
