@@ -331,10 +331,13 @@ def _score(t: pa.Table, books_by_dim: dict[int, tuple[list[np.ndarray], int]], t
                 left &= part @ x.T >= threshold - 1e-4
             a, b = np.nonzero(left)
         else:
-            far = norm - 2 * score
-            keep = min(8 * k, len(x))
-            b = (np.argpartition(far, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(part), 1))).ravel()
-            a = np.repeat(np.arange(len(part)), keep)
+            # the best by the codes give a bound; whatever their error may lift above it is reranked too, so a block loses nothing
+            keep, most = min(8 * k, len(x)), min(k + 1, len(x))
+            near = np.argpartition(norm - 2 * score, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
+            bound = np.partition(np.einsum("ij,ikj->ik", part, x[near]), keep - most, axis=1)[:, keep - most]
+            exact = np.where(score >= (bound - 1e-4)[:, None] - err, part @ x.T, np.float32(-2))
+            b = (np.argpartition(-exact, most - 1, axis=1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(part), 1))).ravel()
+            a = np.repeat(np.arange(len(part)), most)
         for j in range(0, len(a), 500_000):
             aa, bb = a[j : j + 500_000], b[j : j + 500_000]
             cos = np.einsum("ij,ij->i", part[aa].astype(np.float64), x[bb].astype(np.float64))
