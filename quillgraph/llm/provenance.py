@@ -23,7 +23,7 @@ OUTPUT_DIRS = "generated __generated__ _generated gen generated-sources generate
 #: Endings of names that tools give to their output, lockfiles among them.
 OUTPUT_NAMES = (
     r"[.\-_]min\.(js|mjs|cjs|css)$", r"[.\-]bundle\.(js|mjs)$", r"[.\-]chunk\.js$", r"\.map$", r"\.pb\.(go|ts|js|cc|h|py)$", r"_pb2(_grpc)?\.pyi?$",
-    r"_pb\.(js|ts)$", r"\.(gen|generated|codegen|g)\.[a-z]+$", r"_(generated|gen|bindgen)\.(py|go|rs|java|js|ts)$", r"^zz_generated\.",
+    r"_pb\.(js|ts)$", r"\.pb\.gw\.go$", r"_(string|easyjson|ffjson)\.go$", r"^mock_.*\.go$", r"bindata\.go$", r"^buildconfig\.java$", r"\.freezed\.dart$", r"\.(gen|generated|codegen|g)\.[a-z]+$", r"_(generated|gen|bindgen)\.(py|go|rs|java|js|ts)$", r"^zz_generated\.",
     r"(outerclass|grpc)\.java$", r"\.designer\.cs$", r"^(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|composer\.lock)$",
 )
 

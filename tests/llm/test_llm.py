@@ -124,8 +124,8 @@ def test_classify(spark):
     k = spark.createDataFrame([(1, lib), (2, None), (3, "")], "lib_id bigint, content string")
     got = {r["path"]: r["reason"] for r in provenance.classify_files(f, t, k).collect()}
     assert got == {"r/vendor/lib/a.ts": "vendored", "r/x.pb.go": "generated", "r/c.ts": "copied"}
-    deep = spark.createDataFrame([("vendor/lib/x.js", None, None, None), ("/".join(["d"] * 1200) + "/vendor/lib/x.js", None, None, None), ("gen/x.js", None, None, None), ("vendor/x.js", None, None, None)], f.drop("reason").schema)
-    assert {r["reason"] for r in provenance.noticed_files(deep, t).collect()} == {"vendored", "generated"} and provenance.noticed_files(deep, t).count() == 3
+    deep = spark.createDataFrame([("vendor/lib/x.js", None, None, None), ("/".join(["d"] * 1200) + "/vendor/lib/x.js", None, None, None), ("gen/x.js", None, None, None), ("vendor/x.js", None, None, None), ("a/kind_string.go", None, None, None), ("a/string.go", None, None, None)], f.drop("reason").schema)
+    assert {r["reason"] for r in provenance.noticed_files(deep, t).collect()} == {"vendored", "generated"} and provenance.noticed_files(deep, t).count() == 4
     assert {r["path"]: r["reason"] for r in provenance.noticed_files(f, t).collect()} == {k: v for k, v in got.items() if v != "copied"}
     assert provenance.classify_files(f.limit(0), t, k).count() == 0 and provenance.classify_files(f, t.limit(0), k.limit(0)).count() == 2
 
