@@ -14,7 +14,7 @@ from .functions.text import embedding_text
 from .operators import changes, extract, graph, render, resolve, search, tables
 from .session import materialise
 from .sources import scan
-from .sources.state import Store
+from .sources.state import BUCKETS, Store, bucket_of
 from .streaming import changelog
 
 
@@ -43,24 +43,30 @@ class Engine:
     def _apply(self, texts: DataFrame, touched: DataFrame, files: DataFrame, rank: bool = True) -> int:
         """Replace the graph of ``touched`` (path) by that of ``texts`` (path, text); returns how many nodes were embedded.
 
-        Only the touched files are parsed, and only files that they affect are resolved anew. Without ``rank`` the ranks are left as
+        Only the touched files are parsed, only files that they affect are resolved anew, and only the buckets of these files are
+        written; vectors and the links of assets, which are few, are written whole. Without ``rank`` the ranks are left as
         they are and marked as outdated; the next question that needs them computes them.
         """
         store = self.store
         touched = materialise(touched.distinct())
+        hit = store.buckets(touched)
+        others = set(range(BUCKETS)) - hit
         before = extract.with_parent(store.read("nodes"))
         parsed = extract.parse_files(texts)
-        nodes = materialise(tables.replace_files(store.read("nodes"), parsed["nodes"], touched))
-        sites = materialise(tables.replace_files(store.read("call_sites"), parsed["call_sites"], touched))
+        new_nodes = materialise(tables.replace_files(store.read("nodes", hit), parsed["nodes"], touched))
+        new_sites = materialise(tables.replace_files(store.read("call_sites", hit), parsed["call_sites"], touched))
+        nodes, sites = store.read("nodes", others).unionByName(new_nodes), store.read("call_sites", others).unionByName(new_sites)
         known = extract.with_parent(nodes)
         affected = materialise(resolve.affected_files(touched, before, known, sites))
         self.affected = affected.count()
-        edges = tables.replace_files(store.read("edges").where("kind <> 'documents'"), parsed["edges"], touched)
-        edges = resolve.resolve_incremental(edges, affected, known, sites, files)
+        wide = store.buckets(affected)
+        edges = tables.replace_files(store.read("edges", wide), parsed["edges"], touched)
+        edges = materialise(resolve.resolve_incremental(edges, affected, known, sites, files))
         assets = nodes.where("kind = 'asset' AND snippet IS NOT NULL").select("id", "file_path", F.col("snippet").alias("text"))
-        edges = materialise(edges.unionByName(resolve.link_assets(assets, nodes)))
+        documents = materialise(resolve.link_assets(assets, nodes))
         vectors, embedded = self._embed(nodes)
-        store.write(nodes=nodes, call_sites=sites, edges=edges, files=files, embeddings=vectors)
+        in_hit = files.where(bucket_of(F.col("path")).isin(*hit)) if hit else files.limit(0)
+        store.write({"nodes": hit, "call_sites": hit, "files": hit, "edges": wide}, nodes=new_nodes, call_sites=new_sites, files=materialise(in_hit), edges=edges, documents=documents, embeddings=vectors)
         store.set_meta(ranksOutdated=True)
         if rank:
             self._rank()
@@ -121,7 +127,7 @@ class Engine:
         return extract.with_parent(self.store.read("nodes"))
 
     def edges(self) -> DataFrame:
-        return self.store.read("edges")
+        return self.store.read("edges").unionByName(self.store.read("documents"))
 
     def ranks(self) -> DataFrame:
         """The ranks of the nodes there are, computed now if the graph has changed since."""

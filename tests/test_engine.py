@@ -122,7 +122,10 @@ def test_incremental_equals_full(spark, tmp_path):
     assert sorted(r["confidence"] for r in e.edges().where("kind = 'calls'").collect()) == [0.9] * n + [0.95] * n + [1.0] * n
     before = {tuple(r) for r in e.edges().where("kind = 'calls'").collect()}
     (tmp_path / "a/m0.ts").write_text(tree(n)["m0.ts"] + "// more\n")
+    folders = e.store.meta()["tables"]["nodes"]
     again = e.index()
+    now = e.store.meta()["tables"]["nodes"]
+    assert set(now) == set(folders) and [b for b in now if now[b] != folders[b]] == [str(b) for b in e.store.buckets(spark.createDataFrame([("m0.ts",)], "path string"))]
     assert (again["added"], again["changed"], again["removed"]) == (0, 1, 0)
     # the file, those that call what it has, and those that import it; not all of them
     assert 1 <= e.affected < n
