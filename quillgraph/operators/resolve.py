@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.ids import documents_edge_id, edge_id
+from ..session import materialise
 from .skew import salted_left_join
 from .tables import META, order_key
 
@@ -119,7 +120,7 @@ def resolve_calls(sites: DataFrame, nodes: DataFrame, files: DataFrame) -> DataF
     )
     # a callee may be hot, so its join is salted; the joins on a class leave out the calls that have none, which otherwise all
     # meet under the null key
-    calls = calls.withColumn("site", F.xxhash64("caller", "callee", F.coalesce("receiver", F.lit("\0"))))
+    calls = materialise(calls.withColumn("site", F.xxhash64("caller", "callee", F.coalesce("receiver", F.lit("\0")))))
     wide = salted_left_join(calls, named, "callee", salt_by=F.col("site")).where("n_all IS NOT NULL")
     typed = calls.where("receiver IS NOT NULL").select("receiver").distinct().join(classes, "receiver", "left_semi")
     t1 = calls.where("receiver IN ('this', 'self') AND caller_class IS NOT NULL").join(by_class("caller_class", "t1"), ["caller_class", "callee"])
